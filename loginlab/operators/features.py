@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loginlab.functions.columns import count_if, epoch_seconds, share
 from loginlab.functions.ordering import gaps
 from loginlab.functions.tweaks import is_tweaked
-from loginlab.operators.flags import password_labels
+from loginlab.operators.flags import password_origins
 
 IP_DAY = ("client_ip", "d")
 # fixed values: result codes that are always reported
@@ -170,18 +170,19 @@ def unique_passwords_per_user(attempts: DataFrame) -> DataFrame:
     """``AUPPU`` per ⟨IP, day⟩: an attempt counts unless the same user sent the
     same password from the same IP strictly earlier that day; mean over the users.
 
-    Equal passwords share a label, so the earliest moment per ⟨user, label, IP⟩
+    Equal passwords share an origin, so the earliest moment per ⟨user, origin, IP⟩
     answers the question without comparing attempts pairwise.
     """
-    labels = password_labels(attempts, "username")
+    key = ["client_ip", "d", "username"]
     # all attempts at the earliest moment count; later ones repeat
-    per_label = labels.groupBy("client_ip", "d", "username", "label", "timestamp").agg(
-        F.count("*").alias("n")
+    submissions = (
+        password_origins(attempts, "username")
+        .groupBy(*key, "origin", "timestamp")
+        .agg(F.count("*").alias("n"))
+        .groupBy(*key, "origin")
+        .agg(F.min_by("n", "timestamp").alias("n"))
     )
-    first = per_label.groupBy("client_ip", "d", "username", "label").agg(
-        F.min(F.struct("timestamp", "n")).alias("first")
-    )
-    users = first.groupBy("client_ip", "d", "username").agg(F.sum("first.n").alias("n"))
+    users = submissions.groupBy(*key).agg(F.sum("n").alias("n"))
     return users.groupBy("client_ip", "d").agg(
         F.sum("n").alias("unique_submissions"), F.avg("n").alias("AUPPU")
     )

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loginlab.functions import tweaks
-from loginlab.functions.columns import is_new_password, prior
-from loginlab.functions.ordering import previous_in_day, slot_in_day
+from loginlab.functions.columns import epoch_seconds, is_new_password, prior
+from loginlab.functions.ordering import SLICE_SECONDS, previous_in_day
 
 DISTANCES = {
     "client_ip": "distance_from_submissions_by_ip",
@@ -56,67 +56,75 @@ def interarrival_by_ip_day(attempts: DataFrame) -> DataFrame:
     return previous_in_day(attempts, ["client_ip"], "gap_seconds")
 
 
-def password_labels(attempts: DataFrame, by: str = "username") -> DataFrame:
-    """One row per attempt with its ``slot`` in the day and a password ``label``.
+def password_origins(
+    attempts: DataFrame, by: str = "username", slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """One row per attempt with its ``slot`` among the key's attempts of the day and
+    the slot ``origin`` of the day's first submission of the same password.
 
-    The first attempt of a day has no distances and is labelled ``unknown``. A
-    submission without an earlier equal one starts a new ``password<n>``, where n
-    counts on over the days of the key. Any other submission takes the label of
-    the earliest equal submission; distance 0 means equal text, so that earliest
-    one always carries a label of its own and one join resolves every copy.
+    Distance 0 means equal text, so the first zero of an attempt's distances points
+    at that first submission, and ``⟨key, day, origin⟩`` identifies the password.
+    The day's first attempt has no distances. ``number`` counts the new passwords
+    of the key over all its days, from 0; only first submissions have one. Whole
+    days are expected, because distances refer to all attempts of the day.
     """
-    dist = DISTANCES[by]
     other = "client_ip" if by == "username" else "username"
-    # position of the first zero; 0 when there is none, NULL on the first of a day
-    p = prior(dist)
-    rows = slot_in_day(
-        attempts.select(
+    sec = epoch_seconds("timestamp")
+    rows = attempts.select(
+        by,
+        other,
+        "d",
+        "timestamp",
+        "id",
+        F.floor(sec / slice_seconds).alias("_slice"),
+        F.array_position(prior(DISTANCES[by]), 0).alias("_first_zero"),
+    ).withColumn("_new", F.coalesce(F.col("_first_zero") == 0, F.lit(False)).cast("int"))
+    inside = Window.partitionBy(by, "d", "_slice").orderBy("timestamp", "id")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.unboundedPreceding, -1
+    of_day = Window.partitionBy(by, "d").orderBy("_slice").rowsBetween(*earlier)
+    of_key = Window.partitionBy(by).orderBy("d", "_slice").rowsBetween(*earlier)
+    # one row per slice; connects the slices of a day and the days of a key
+    offsets = (
+        rows.groupBy(by, "d", "_slice")
+        .agg(F.count("*").alias("_n"), F.sum("_new").alias("_m"))
+        .select(
+            by,
+            "d",
+            "_slice",
+            F.coalesce(F.sum("_n").over(of_day), F.lit(0)).alias("_slots_before"),
+            F.coalesce(F.sum("_m").over(of_key), F.lit(0)).alias("_new_before"),
+        )
+    )
+    counted = rows.withColumn("_pos", F.row_number().over(inside)).withColumn(
+        "_news", F.sum("_new").over(upto)
+    )
+    zero = F.col("_first_zero")
+    return (
+        counted.join(offsets, [by, "d", "_slice"])
+        .withColumn("slot", F.col("_pos") + F.col("_slots_before"))
+        .select(
             by,
             other,
             "d",
             "timestamp",
             "id",
-            F.array_position(p, 0).alias("first_equal"),
-        ),
-        [by],
-    ).withColumn(
-        "copies", F.coalesce((F.col("first_equal") > 0) & (F.col("first_equal") < F.col("slot")), F.lit(False))
+            "slot",
+            F.when(zero.isNull(), 1).when(zero > 0, zero).otherwise(F.col("slot")).alias("origin"),
+            F.when(F.col("_new") == 1, F.col("_new_before") + F.col("_news") - 1).alias("number"),
+        )
     )
-    own = rows.where(~F.col("copies"))
-    starts = own.where(F.col("first_equal").isNotNull())
-    labelled = _number_new_passwords(starts, by).unionByName(
-        own.where(F.col("first_equal").isNull())
-        .withColumn("label", F.lit(FIRST_OF_DAY))
-        .select(by, other, "d", "timestamp", "id", "slot", "label")
-    )
-    pointed = labelled.select(by, "d", F.col("slot").alias("first_equal"), "label")
-    copied = (
-        rows.where("copies")
-        .join(pointed, [by, "d", "first_equal"])
-        .select(by, other, "d", "timestamp", "id", "slot", "label")
-    )
-    return labelled.unionByName(copied)
 
 
-def _number_new_passwords(starts: DataFrame, by: str) -> DataFrame:
-    """Numbers the new passwords of a key over its whole history: a count inside
-    slices of a day, shifted by the totals of earlier slices."""
-    slots_per_slice = 100_000
-    s = starts.withColumn("_part", F.floor(F.col("slot") / slots_per_slice))
-    inside = Window.partitionBy(by, "d", "_part").orderBy("slot")
-    before = (
-        Window.partitionBy(by).orderBy("d", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        s.groupBy(by, "d", "_part")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+def password_labels(attempts: DataFrame, by: str = "username") -> DataFrame:
+    """One row per attempt with a readable password ``label``: ``unknown`` for the
+    day's first password, ``password<number>`` for the others."""
+    rows = password_origins(attempts, by)
+    named = rows.where("number IS NOT NULL").select(
+        by, "d", F.col("slot").alias("origin"), F.concat(F.lit("password"), "number").alias("label")
     )
-    number = F.col("_offset") + F.row_number().over(inside) - 1
-    other = "client_ip" if by == "username" else "username"
     return (
-        s.join(offsets, [by, "d", "_part"])
-        .withColumn("label", F.concat(F.lit("password"), number))
-        .select(by, other, "d", "timestamp", "id", "slot", "label")
+        rows.drop("number")
+        .join(named, [by, "d", "origin"], "left")
+        .withColumn("label", F.coalesce("label", F.lit(FIRST_OF_DAY)))
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from loginlab.functions.columns import is_new_password, prior, share
 from loginlab.functions.ordering import slot_in_day
 from loginlab.operators import detectors, features, statistics
-from loginlab.operators.flags import password_labels
-from loginlab.sources.attempts import ensure_checkpoints
+from loginlab.operators.flags import password_labels, password_origins
+from loginlab.sources.attempts import materialize
 
 IP_DAY = ["client_ip", "d"]
 
@@ -60,13 +60,14 @@ def ip_reachability(
     at which each was reached.
 
     Only IPs with enough attempts overall can be reached, so the others are left
-    out first. Each round looks at new IPs only and is checkpointed.
+    out first. Each round looks at new IPs only and is written out.
     """
     spark = attempts.sparkSession
-    ensure_checkpoints(spark)
-    pairs = _ip_users(attempts).checkpoint()
+    pairs = materialize(_ip_users(attempts), "ip_users")
     large = pairs.groupBy("client_ip").agg(F.sum("c").alias("n")).where(F.col("n") >= min_attempts)
-    targets = pairs.join(large.select("client_ip"), "client_ip", "left_semi").checkpoint()
+    targets = materialize(
+        pairs.join(large.select("client_ip"), "client_ip", "left_semi"), "targets"
+    )
     visited = spark.createDataFrame([(ip, 0)], "client_ip string, hop int")
     frontier, hop = visited.select("client_ip"), 0
     while True:
@@ -83,11 +84,11 @@ def ip_reachability(
             .where(share(F.col("s"), F.col("c")) <= max_ratio)
             .select("client_ip")
             .distinct()
-            .checkpoint()
         )
+        found = materialize(found, "found")
         if found.isEmpty():
             return visited
-        visited = visited.unionByName(found.withColumn("hop", F.lit(hop))).checkpoint()
+        visited = visited.unionByName(found.withColumn("hop", F.lit(hop)))
         frontier = found
 
 
@@ -118,9 +119,9 @@ def ip_password_runs(attempts: DataFrame) -> DataFrame:
     among the attempts with distances.
     """
     dist = F.col("distance_from_submissions_by_ip")
-    same = F.coalesce(F.element_at(F.reverse(prior(dist)), 1) == 0, F.lit(False))
+    same = F.coalesce(F.get(prior(dist), F.size(dist) - 2) == 0, F.lit(False))
     rows = attempts.where(dist.isNotNull()).select(
-        *IP_DAY, "timestamp", "id", F.when(F.size(dist) > 1, same).otherwise(False).alias("same")
+        *IP_DAY, "timestamp", "id", same.alias("same")
     )
     slots = slot_in_day(rows, ["client_ip"]).where(~F.col("same"))
     # positions of the ends, thinned to one row per slice to link the slices
@@ -154,11 +155,11 @@ def ip_unique_passwords_per_day(attempts: DataFrame) -> DataFrame:
 
 def user_password_ratio_per_day(attempts: DataFrame) -> DataFrame:
     return (
-        password_labels(attempts, "client_ip")
+        password_origins(attempts, "client_ip")
         .groupBy(*IP_DAY)
         .agg(
             F.count_distinct("username").alias("usernames"),
-            F.count_distinct("label").alias("passwords"),
+            F.count_distinct("origin").alias("passwords"),
         )
         .withColumn("ratio", share(F.col("usernames"), F.col("passwords")))
     )
@@ -193,43 +194,44 @@ def password_reuse_across_ips(attempts: DataFrame, ips) -> DataFrame:
     """One row ``reused, total`` over the days of users seen from several of the
     given IPs: attempts whose password came earlier that day from another IP.
 
-    Equal passwords share a label, so an attempt is reused when the earliest
-    attempt with its label, or the earliest one from a second IP, precedes it and
-    has another IP.
+    Equal passwords share an origin, so an attempt is reused when the first attempt
+    with its origin, or the first one from a second IP, precedes it and has another
+    IP.
     """
+    day = ["username", "d"]
     seen = (
         attempts.where(F.col("client_ip").isin(list(ips)))
-        .groupBy("username", "d")
+        .groupBy(*day)
         .agg(F.count_distinct("client_ip").alias("n"))
         .where("n > 1")
     )
-    rows = attempts.join(seen, ["username", "d"], "left_semi")
-    labels = password_labels(rows, "username")
-    per_ip = labels.groupBy("username", "d", "label", "client_ip").agg(
-        F.min("slot").alias("first")
+    rows = attempts.join(seen, day, "left_semi")
+    first_use = (
+        password_origins(rows, "username")
+        .groupBy(*day, "origin", "client_ip")
+        .agg(F.min("slot").alias("first"), F.count("*").alias("n"))
     )
-    # for each ⟨user, day, label⟩ the two IPs that used it first
-    opener = per_ip.groupBy("username", "d", "label").agg(
-        F.min(F.struct("first", "client_ip")).alias("o")
+    by_ip = F.struct("first", "client_ip")
+    # the IP that used a password first, and the first use from any other IP
+    opener = first_use.groupBy(*day, "origin").agg(
+        F.min(by_ip).alias("o"), F.sum("n").alias("total")
     )
-    key = ["username", "d", "label"]
     second = (
-        per_ip.join(opener, key)
+        first_use.join(opener.select(*day, "origin", "o"), [*day, "origin"])
         .where(F.col("client_ip") != F.col("o.client_ip"))
-        .groupBy(*key)
-        .agg(F.min("first").alias("second_first"))
-    )
-    other_first = F.when(F.col("client_ip") != F.col("o.client_ip"), F.col("o.first")).otherwise(
-        F.col("second_first")
+        .groupBy(*day, "origin")
+        .agg(F.min("first").alias("second"))
     )
-    return (
-        labels.join(opener, key)
-        .join(second, key, "left")
-        .agg(
-            F.count(F.when(other_first < F.col("slot"), 1)).alias("reused"),
-            F.count("*").alias("total"),
+    uses = password_origins(rows, "username").select(*day, "origin", "client_ip", "slot")
+    after_second = (
+        uses.join(opener.select(*day, "origin", "o"), [*day, "origin"])
+        .join(second, [*day, "origin"])
+        .where(
+            (F.col("client_ip") != F.col("o.client_ip")) | (F.col("slot") > F.col("second"))
         )
     )
+    total = rows.agg(F.count("*").alias("total"))
+    return after_second.agg(F.count("*").alias("reused")).withColumn("total", total.scalar())
 
 
 def compare_with_compromised(attempts: DataFrame, compromised: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loginlab.functions import distance
 from loginlab.functions.columns import all_of
+from loginlab.sources.attempts import materialize
 
 MAX_DISTANCE = 0.4
 ROWS_PER_BLOCK = 2000
@@ -25,12 +26,12 @@ NEEDED = [
     "os_json_cnt", "app_json_cnt", "browser_json_cnt",
 ]
 
-# shared column (None: nothing shared), columns that must differ, address distance
+# what two rows share, closest kinship first, with the address part it gives
 KINSHIP = [
-    ("client_ip", [], 0.0),
-    ("network", ["client_ip"], distance.SAME_NETWORK),
-    ("ISP", ["client_ip", "network"], distance.SAME_ISP),
-    (None, ["client_ip", "network", "ISP"], 1.0),
+    ("client_ip", 0.0),
+    ("network", distance.SAME_NETWORK),
+    ("ISP", distance.SAME_ISP),
+    (None, 1.0),
 ]
 
 
@@ -46,16 +47,6 @@ def days_apart(address_distance: float, limit: float, slack: float) -> int | Non
     return math.floor(-math.log(1 - left) + 1e-9) if left < 1 else None
 
 
-def _blocks(rows: DataFrame, keys, rows_per_block: int):
-    """The rows spread over the blocks of their key, and the number of blocks of
-    every key. A key with many rows gets many blocks, so no task holds it all."""
-    sizes = rows.groupBy(*keys).agg(
-        F.ceil(F.count("*") / F.lit(rows_per_block)).cast("int").alias("_blocks")
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    return rows.join(sizes, keys).withColumn("_block", own).drop("_blocks"), sizes
-
-
 def near_pairs(
     lsets: DataFrame,
     usernames: DataFrame,
@@ -70,50 +61,66 @@ def near_pairs(
     """
     if not 0 < max_distance < 2 * distance.OUTER_WEIGHT:
         raise ValueError("max_distance must be between 0 and 0.5")
-    rows = lsets.select(*NEEDED)
+    candidates = materialize(
+        _candidates(lsets.select(*NEEDED), max_distance, passwords, rows_per_block), "candidates"
+    ).where(_distance_without_usernames(passwords) < max_distance)
+    return _with_usernames(candidates, usernames, max_distance, passwords)
+
+
+def _meeting_keys(max_distance: float, passwords: bool, neighbours: bool):
+    """The keys under which a row meets others: ⟨kinship, shared value, day⟩. The
+    visiting side (``neighbours``) also appears on the nearby days."""
     slack = distance.INNER_WEIGHT[passwords] if passwords else 0.0
-    candidates = None
-    for shared, differing, address in KINSHIP:
+    any_day = F.lit("1970-01-01").cast("date")
+    keys = []
+    for kind, (shared, address) in enumerate(KINSHIP):
         days = days_apart(address, max_distance, slack)
-        if days == -1:
-            continue
         if days is None and shared is None:
             raise ValueError("max_distance is too large: unrelated rows of any day would qualify")
-        found = _close(rows, shared, differing, days, max_distance, passwords, rows_per_block)
-        candidates = found if candidates is None else candidates.unionByName(found)
-    return _with_usernames(candidates, usernames, max_distance, passwords)
-
-
-def _close(rows, shared, differing, days, max_distance, passwords, rows_per_block) -> DataFrame:
-    """Pairs of one kinship whose distance without the usernames is under the limit."""
-    keys = [shared] if shared else []
-    if days is not None:
-        keys.append("_day")
-    keyed = rows.withColumn("_day", F.col("DATE")) if days is not None else rows
-    spread, sizes = _blocks(keyed, keys, rows_per_block)
-    visiting = keyed
-    if days:
-        near_days = F.transform(
-            F.sequence(F.lit(-days), F.lit(days)), lambda n: F.date_add("DATE", n)
-        )
-        visiting = keyed.withColumn("_day", F.explode(near_days))
-    copied = visiting.join(sizes, keys).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        reach = 0 if days is None or not neighbours else days
+        for n in range(-reach, reach + 1) if days != -1 else ():
+            keys.append(
+                F.struct(
+                    F.lit(kind).alias("_kind"),
+                    (F.col(shared) if shared else F.lit("")).alias("_key"),
+                    (any_day if days is None else F.date_add("DATE", n)).alias("_day"),
+                )
+            )
+    return F.array(*keys)
+
+
+def _candidates(rows, max_distance, passwords, rows_per_block) -> DataFrame:
+    """Pairs whose distance without the usernames and user agents is under the
+    limit. A key with many rows is split into blocks: one side is spread over the
+    blocks, the other visits all of them, so no task holds a hot key."""
+    key = ["_kind", "_key", "_day"]
+    home = rows.select("*", F.inline(_meeting_keys(max_distance, passwords, False)))
+    sizes = home.groupBy(*key).agg(
+        F.ceil(F.count("*") / F.lit(rows_per_block)).cast("int").alias("_blocks")
+    )
+    own_block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    home = home.join(sizes, key).withColumn("_block", own_block)
+    visiting = (
+        rows.select("*", F.inline(_meeting_keys(max_distance, passwords, True)))
+        .join(sizes, key)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     )
     a = lambda c: F.col(f"a.{c}")
     b = lambda c: F.col(f"b.{c}")
     parts = distance.parts(a, b, passwords)
-    cheap = distance.weighted_sum(
+    bound = distance.weighted_sum(
         {n: c for n, c in parts.items() if n != "dist_user_agent"}, passwords
     )
+    closest = F.lit(len(KINSHIP) - 1)
+    for kind, (shared, _) in reversed(list(enumerate(KINSHIP[:-1]))):
+        closest = F.when(a(shared) == b(shared), kind).otherwise(closest)
     on = all_of(
-        [a(k) == b(k) for k in [*keys, "_block"]]
-        + [a(c) != b(c) for c in differing]
-        + [a("id") < b("id"), cheap < max_distance]
+        [a(k) == b(k) for k in [*key, "_block"]]
+        + [a("id") < b("id"), a("_kind") == closest, bound < max_distance]
     )
     return (
-        spread.alias("a")
-        .join(copied.alias("b"), on)
+        home.alias("a")
+        .join(visiting.alias("b"), on)
         .select(
             a("id").alias("i"),
             b("id").alias("j"),
@@ -121,7 +128,6 @@ def _close(rows, shared, differing, days, max_distance, passwords, rows_per_bloc
             b("NU").alias("nu_j"),
             *[c.alias(n) for n, c in parts.items()],
         )
-        .where(_distance_without_usernames(passwords) < max_distance)
     )
 
 

@@ -9,7 +9,7 @@ from loginlab.functions.columns import epoch_seconds, share
 from loginlab.functions.ranks import descending_element
 from loginlab.functions.tweaks import EDIT, STRENGTH, breached_part, part
 from loginlab.operators.features import RESULT_CODES
-from loginlab.operators.flags import password_labels
+from loginlab.operators.flags import password_origins
 
 SUMMED = [
     "result", "appeared_in_breach", "username_appeared_in_breach", "password_appeared_in_breach",
@@ -208,12 +208,12 @@ def unsuccessful_ips_for_user(attempts: DataFrame) -> DataFrame:
 
 
 def distinct_passwords_per_day(attempts: DataFrame, by: str) -> DataFrame:
-    """Distinct password labels per key and day; ``unknown`` counts as one."""
+    """Distinct and total passwords per key and day."""
     return (
-        password_labels(attempts, by)
+        password_origins(attempts, by)
         .groupBy(by, "d")
         .agg(
-            F.count_distinct("label").alias("distinct_passwords"),
+            F.count_distinct("origin").alias("distinct_passwords"),
             F.count("*").alias("total_passwords"),
         )
     )

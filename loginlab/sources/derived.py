@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loginlab.functions.columns import epoch_seconds, is_new_password
+from loginlab.sources.attempts import scratch_table
 
 SESSION_GAP_SECONDS = 1800
 
@@ -95,14 +96,14 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_history(base: DataFrame) -> DataFrame:
     """Adds what depends on earlier attempts of the same day."""
-    order = [F.col("timestamp"), F.col("id")]
     out = base
     for name, keys in (
         ("username", ["username"]),
         ("ip", ["client_ip"]),
         ("username_ip", ["username", "client_ip"]),
     ):
-        w = Window.partitionBy(*keys, "d").orderBy(*order)
+        # at most one day of one key: the clock bounds a day's attempts
+        w = Window.partitionBy(*keys, "d").orderBy("timestamp", "id")
         gap = epoch_seconds("timestamp") - F.lag(epoch_seconds("timestamp")).over(w)
         out = out.withColumn(
             f"interarrival_time_by_{name}", F.coalesce(gap.cast("double"), F.lit(-1.0))
@@ -114,14 +115,15 @@ def _with_history(base: DataFrame) -> DataFrame:
                 w.rowsBetween(Window.unboundedPreceding, 0)
             ),
         )
-    for name, key in (("username", "username"), ("ip", "client_ip")):
-        w = Window.partitionBy(key, "d").orderBy(*order)
+        if len(keys) > 1:
+            continue
         earlier = F.collect_list("pw").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        dist = F.transform(earlier, lambda x: F.abs(F.col("pw") - x).cast("int"))
+        out = out.withColumn("_earlier", earlier)
+        dist = F.transform("_earlier", lambda x: F.abs(F.col("pw") - x).cast("int"))
         out = out.withColumn(
             f"distance_from_submissions_by_{name}",
-            F.when(F.size(dist) > 0, F.concat(dist, F.array(F.lit(0)))),
-        )
+            F.when(F.size("_earlier") > 0, F.concat(dist, F.array(F.lit(0)))),
+        ).drop("_earlier")
         out = out.withColumn(
             f"is_unique_pws_by_{name}",
             is_new_password(f"distance_from_submissions_by_{name}"),
@@ -130,10 +132,24 @@ def _with_history(base: DataFrame) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempt log; unused history columns are pruned by the optimizer."""
+    """The attempt log, computed from the events on the fly."""
     return _with_history(_base(spark, sf_dir)).drop("user_id", "v", "k", "pw", "uan")
 
 
+_tables: dict[tuple[str, str], str] = {}
+
+
+def attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempt log as a Parquet table partitioned by day, written once per
+    Spark application to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        path = scratch_table(spark, "attempts")
+        attempts(spark, sf_dir).repartition("d").write.partitionBy("d").parquet(path)
+        _tables[key] = path
+    return spark.read.parquet(_tables[key])
+
+
 def _sessions(rows: DataFrame, sid: str, keys) -> DataFrame:
     span = F.max(epoch_seconds("timestamp")) - F.min(epoch_seconds("timestamp"))
     n = F.count("*")
@@ -149,7 +165,7 @@ def _sessions(rows: DataFrame, sid: str, keys) -> DataFrame:
             F.count_distinct("client_ip").alias("num_unique_ips"),
             F.count_distinct("username").alias("num_unique_usernames"),
             F.count_distinct("user_agent").alias("num_unique_user_agents"),
-            F.count_distinct(F.col("uan") % 4).alias("num_unique_devices"),
+            F.count_distinct(F.coalesce("user_agent", F.lit("none"))).alias("num_unique_devices"),
             F.max_by("result", F.struct("timestamp", "id")).alias("ended_with_success"),
             F.sum("username_appeared_in_breach").alias("num_attempts_username_in_breach"),
             F.sum("password_appeared_in_breach").alias("num_attempts_password_in_breach"),
@@ -165,7 +181,7 @@ def _sessions(rows: DataFrame, sid: str, keys) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Session table of one kind: ``username``, ``ip`` or ``username_ip``."""
     keys = {"username": ["username"], "ip": ["client_ip"], "username_ip": ["username", "client_ip"]}
-    rows = _with_history(_base(spark, sf_dir))
+    rows = attempts_table(spark, sf_dir)
     return _sessions(rows, f"{kind}_session_id", keys[kind]).withColumnRenamed("client_ip", "ip")
 
 
@@ -173,7 +189,7 @@ def mfa_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second-factor events: epoch seconds, six hours behind the attempt log."""
     return (
         _base(spark, sf_dir)
-        .where("result = 1 AND user_id % 2 = 0 AND id % 3 = 0 AND k >= 45")
+        .where("result = 1 AND user_id % 2 = 0 AND id % 3 = 0 AND k >= 28")
         .select(
             "id",
             "username",
