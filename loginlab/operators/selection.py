@@ -46,7 +46,7 @@ def lsets(attempts: DataFrame, prefixes: DataFrame, mfa_log: DataFrame) -> DataF
     Usernames stay in :func:`loginlab.operators.features.lset_usernames`.
     """
     f = features.ip_day_features(attempts)
-    networks = enrich.ip_networks(f, prefixes)
+    networks = enrich.ip_networks(attempts, prefixes)
     matches = enrich.mfa_attempt_matches(mfa_log, attempts)
     mfa = enrich.mfa_counts(matches, attempts).select("client_ip", "d", "duo_responses")
     key = ["client_ip", "d"]

@@ -46,12 +46,13 @@ def find_campaigns(
     knee of the merge heights is used, for either kind of linkage."""
     lsets = suspicious_lsets(inputs)
     near = materialize(find_near_pairs(lsets, inputs.attempts, max_distance), "near_pairs")
+    if linkage == "average" or threshold is None:
+        history = clustering.average_linkage(near, max_distance, threshold)
     if threshold is None:
-        _, history = clustering.average_linkage(near, lsets, max_distance)
         knee = clustering.cut_threshold(history, lsets).first()
         threshold = knee["threshold"] if knee else max_distance
     if linkage == "average":
-        members, _ = clustering.average_linkage(near, lsets, max_distance, threshold)
+        members = clustering.members(history, lsets, threshold)
     else:
         members = clustering.connected_campaigns(near, lsets, threshold)
     labelled = lsets.join(members.withColumnRenamed("cluster", "cluster_id"), "id")

@@ -115,9 +115,7 @@ def _linkage(spark, sf):
         spark,
         sf,
         "linkage",
-        lambda: clustering.average_linkage(
-            _near(spark, sf), _lsets(spark, sf), pairs.MAX_DISTANCE
-        ),
+        lambda: clustering.average_linkage(_near(spark, sf), pairs.MAX_DISTANCE),
     )
 
 
@@ -452,13 +450,14 @@ QUERIES: dict[str, Query] = {
     ),
     # clusters
     "average_linkage_clusters": lambda spark, sf: present(
-        clustering.average_linkage(
-            _near(spark, sf), _lsets(spark, sf), pairs.MAX_DISTANCE, LINK_THRESHOLD
-        )[0]
+        clustering.members(
+            clustering.average_linkage(_near(spark, sf), pairs.MAX_DISTANCE, LINK_THRESHOLD),
+            _lsets(spark, sf),
+        )
     ),
-    "merge_history": lambda spark, sf: present(_linkage(spark, sf)[1]),
+    "merge_history": lambda spark, sf: present(_linkage(spark, sf)),
     "cut_threshold": lambda spark, sf: present(
-        clustering.cut_threshold(_linkage(spark, sf)[1], _lsets(spark, sf))
+        clustering.cut_threshold(_linkage(spark, sf), _lsets(spark, sf))
     ),
     "connected_campaigns": lambda spark, sf: present(
         clustering.connected_campaigns(_near(spark, sf), _lsets(spark, sf), LINK_THRESHOLD)

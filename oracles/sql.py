@@ -80,8 +80,8 @@ hist AS (SELECT *, {_history("username", "username", True)},
 attempts AS (SELECT *,
   list_transform(earlier_ip, lambda x: abs(pw - x)) AS prior_ip,
   list_transform(earlier_username, lambda x: abs(pw - x)) AS prior_username,
-  list_append(list_transform(earlier_username, lambda x: abs(pw - x)), 0) AS dist_username,
-  list_append(list_transform(earlier_ip, lambda x: abs(pw - x)), 0) AS dist_ip_array,
+  CASE WHEN earlier_username IS NOT NULL THEN list_append(list_transform(earlier_username, lambda x: abs(pw - x)), 0) END AS dist_username,
+  CASE WHEN earlier_ip IS NOT NULL THEN list_append(list_transform(earlier_ip, lambda x: abs(pw - x)), 0) END AS dist_ip_array,
   CASE WHEN list_contains(earlier_ip, pw) THEN 0 ELSE 1 END AS is_unique_pws_by_ip,
   CASE WHEN list_contains(earlier_username, pw) THEN 0 ELSE 1 END AS is_unique_pws_by_username,
   {_session("username", "username")}, {_session("ip", "client_ip")},
@@ -395,12 +395,6 @@ O["most_common_user_agent"] = plain(
       SELECT *, row_number() OVER (PARTITION BY client_ip, d ORDER BY uses DESC, user_agent DESC NULLS LAST) AS rn
       FROM (SELECT client_ip, d, user_agent, count(*) AS uses FROM attempts GROUP BY client_ip, d, user_agent)) WHERE rn = 1"""
 )
-AUPPU = """auppu AS (
-  SELECT client_ip, d, sum(n) AS unique_submissions, avg(n) AS "AUPPU" FROM (
-    SELECT x.client_ip, x.d, x.username,
-      count(*) FILTER (NOT EXISTS (SELECT 1 FROM base y WHERE y.username = x.username AND y.d = x.d AND y.pw = x.pw
-         AND y.client_ip = x.client_ip AND y."timestamp" < x."timestamp")) AS n
-    FROM base x GROUP BY x.client_ip, x.d, x.username) GROUP BY client_ip, d)"""
 AUPPU = """seen AS (SELECT *, rank() OVER (PARTITION BY username, d, pw, client_ip ORDER BY "timestamp") AS use_rank FROM base),
 auppu AS (SELECT client_ip, d, sum(n) AS unique_submissions, avg(n) AS "AUPPU" FROM (
     SELECT client_ip, d, username, count(*) FILTER (use_rank = 1) AS n FROM seen GROUP BY client_ip, d, username)
