@@ -11,37 +11,51 @@ NETWORK_COLUMNS = ["network", "isp", "asn_org", "country", "city"]
 NOT_FOUND = "NA"
 
 
+# at most 2**17 - 1 prefixes are this short; a longer one covers at most 2**15 addresses
+SHORT_PREFIX = 16
+
+
+def _masked(number: Column, length: Column) -> Column:
+    """The network part of an address for a prefix length."""
+    block = F.pow(F.lit(2.0), F.lit(32) - length).cast("long")
+    return number - number % block
+
+
 def ip_networks(ips: DataFrame, prefixes: DataFrame, ip: str = "client_ip") -> DataFrame:
     """Longest matching prefix for every distinct IP, ``NA`` when there is none.
 
     An address is masked to every prefix length, which turns the range lookup
-    into an equi-join on ⟨length, masked address⟩.
+    into an equi-join on ⟨length, masked address⟩. Short prefixes would gather
+    many addresses under one key, but there are few of them, so they are broadcast;
+    the shuffled join only sees keys with a bounded number of addresses.
     """
     distinct = ips.select(ip).distinct()
-    has_proxy = "is_proxy" in prefixes.columns
-    proxy = F.col("is_proxy") if has_proxy else F.lit(False)
-    size = F.substring_index("network", "/", -1).cast("int")
-    host_bits = F.col("len") - F.lit(32)
-
-    def masked(number: Column) -> Column:
-        block = F.pow(F.lit(2.0), -host_bits).cast("long")
-        return number - number % block
-
+    proxy = F.col("is_proxy") if "is_proxy" in prefixes.columns else F.lit(False)
+    length = F.substring_index("network", "/", -1).cast("int")
     table = (
-        prefixes.withColumn("len", size)
-        .withColumn("net", masked(ipv4_number(F.substring_index("network", "/", 1))))
+        prefixes.withColumn("len", length)
+        .withColumn("net", _masked(ipv4_number(F.substring_index("network", "/", 1)), F.col("len")))
         .select("len", "net", *NETWORK_COLUMNS, proxy.alias("is_proxy"))
+        .where("net IS NOT NULL")
+        .dropDuplicates(["len", "net"])
     )
-    probes = (
-        distinct.withColumn("number", ipv4_number(ip))
-        .where(F.col("number").isNotNull())
-        .withColumn("len", F.explode(F.sequence(F.lit(0), F.lit(32))))
-        .select(ip, "len", masked(F.col("number")).alias("net"))
+    numbers = distinct.withColumn("number", ipv4_number(ip)).where("number IS NOT NULL")
+
+    def probes(first, last):
+        lengths = F.explode(F.sequence(F.lit(first), F.lit(last)))
+        return numbers.withColumn("len", lengths).select(
+            ip, "len", _masked(F.col("number"), F.col("len")).alias("net")
+        )
+
+    few = F.broadcast(table.where(F.col("len") <= SHORT_PREFIX))
+    many = table.where(F.col("len") > SHORT_PREFIX)
+    hits = (
+        probes(0, SHORT_PREFIX)
+        .join(few, ["len", "net"])
+        .unionByName(probes(SHORT_PREFIX + 1, 32).join(many, ["len", "net"]))
     )
-    best = (
-        probes.join(table, ["len", "net"])
-        .groupBy(ip)
-        .agg(F.max_by(F.struct(*NETWORK_COLUMNS, "is_proxy"), "len").alias("hit"))
+    best = hits.groupBy(ip).agg(
+        F.max_by(F.struct(*NETWORK_COLUMNS, "is_proxy"), "len").alias("hit")
     )
     return distinct.join(best, ip, "left").select(
         ip,
@@ -173,7 +187,8 @@ def mfa_attempt_matches(
     mfa_log: DataFrame, attempts: DataFrame, shift_seconds=6 * 3600, reach_seconds=120
 ) -> DataFrame:
     """Second-factor events with the same user's successful attempts in
-    ``[t - reach, t + reach)``: one row per match, NULL attempt when there is none.
+    ``[t - reach, t + reach)``: one row per match with the attempt's id, IP and day,
+    NULL when there is none.
 
     Attempts are keyed by user and a time bucket as wide as the interval, so an
     event looks into at most two buckets and a busy user is spread over time.
@@ -193,22 +208,25 @@ def mfa_attempt_matches(
     )
     successes = (
         attempts.where(F.col("result") == 1)
-        .select("username", epoch_seconds("timestamp").alias("at"), F.col("id").alias("attempt_id"))
+        .select(
+            "username",
+            epoch_seconds("timestamp").alias("at"),
+            F.col("id").alias("attempt_id"),
+            "client_ip",
+            "d",
+        )
         .withColumn("bucket", F.floor(F.col("at") / width))
     )
     hits = probes.join(successes, ["username", "bucket"]).where(F.col("at").between(first, last))
-    return events.drop("moment").join(hits.select("duo_id", "attempt_id"), "duo_id", "left")
+    hits = hits.select("duo_id", "attempt_id", "client_ip", "d")
+    return events.drop("moment").join(hits, "duo_id", "left")
 
 
-def mfa_counts(matches: DataFrame, attempts: DataFrame) -> DataFrame:
+def mfa_counts(matches: DataFrame) -> DataFrame:
     """Second-factor outcomes per ⟨IP, day⟩ of the matched attempts."""
-    at = attempts.select(F.col("id").alias("attempt_id"), "client_ip", "d")
     return (
         matches.where(F.col("attempt_id").isNotNull())
-        .join(at, "attempt_id")
         .groupBy("client_ip", "d")
-        .agg(
-            *[F.count(F.when(F.col("mfa_result") == r, 1)).alias(r) for r in MFA_RESULTS]
-        )
+        .agg(*[F.count(F.when(F.col("mfa_result") == r, 1)).alias(r) for r in MFA_RESULTS])
         .withColumn("duo_responses", F.to_json(F.struct(*MFA_RESULTS)))
     )

@@ -76,8 +76,17 @@ def ip_reachability(
             F.col("client_ip").alias("source"), "username"
         )
         unseen = targets.join(visited, "client_ip", "left_anti")
+        # the attempts on the names of all new IPs together bound those of each one
+        possible = (
+            unseen.join(names.select("username").distinct(), "username", "left_semi")
+            .groupBy("client_ip")
+            .agg(F.sum("c").alias("c"))
+            .where(F.col("c") >= min_attempts)
+            .select("client_ip")
+        )
         found = (
-            unseen.join(names, "username")
+            unseen.join(possible, "client_ip", "left_semi")
+            .join(names, "username")
             .groupBy("source", "client_ip")
             .agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
             .where(F.col("c") >= min_attempts)

@@ -48,7 +48,7 @@ def lsets(attempts: DataFrame, prefixes: DataFrame, mfa_log: DataFrame) -> DataF
     f = features.ip_day_features(attempts)
     networks = enrich.ip_networks(attempts, prefixes)
     matches = enrich.mfa_attempt_matches(mfa_log, attempts)
-    mfa = enrich.mfa_counts(matches, attempts).select("client_ip", "d", "duo_responses")
+    mfa = enrich.mfa_counts(matches).select("client_ip", "d", "duo_responses")
     key = ["client_ip", "d"]
     empty = F.create_map().cast("map<string,bigint>")
     none = F.lit('{"success":0,"denied":0,"fraud":0}')

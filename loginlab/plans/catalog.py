@@ -382,14 +382,13 @@ QUERIES: dict[str, Query] = {
     "mfa_attempt_match": lambda spark, sf: present(
         enrich.mfa_attempt_matches(
             derived.mfa_log(spark, sf), derived.attempts_table(spark, sf)
-        )
+        ).drop("client_ip", "d")
     ),
     "mfa_counts": lambda spark, sf: present(
         enrich.mfa_counts(
             enrich.mfa_attempt_matches(
                 derived.mfa_log(spark, sf), derived.attempts_table(spark, sf)
-            ),
-            derived.attempts_table(spark, sf),
+            )
         )
     ),
     # selection

@@ -54,10 +54,13 @@ def with_defaults(attempts: DataFrame, start=None, end=None) -> DataFrame:
     )
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """Replaces exactly the days present in ``features``, so a day can be rerun."""
+def write_features(features: DataFrame, path: str, files_per_day: int = 8) -> None:
+    """Replaces exactly the days present in ``features``, so a day can be rerun.
+    Rows are gathered per day first, into a few files each."""
+    part = F.pmod(F.hash("client_ip"), F.lit(files_per_day))
     (
-        features.write.mode("overwrite")
+        features.repartition("d", part)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("d")
         .parquet(path)

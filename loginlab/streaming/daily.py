@@ -39,10 +39,17 @@ def keep_features_current(
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        (
+            batch.withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("d", "batch")
+            .parquet(log_path)
+        )
         stored = spark.read.parquet(log_path)
-        touched = spark.read.parquet(f"{log_path}/batch={batch_id}").select("d").distinct()
-        days = stored.join(touched, "d", "left_semi")
+        # a few calendar days, used to prune the stored partitions
+        touched = stored.where(F.col("batch") == batch_id).select("d").distinct().collect()
+        days = stored.where(F.col("d").isin([r.d for r in touched])).drop("batch")
         write_features(ip_day_features(days), features_path)
 
     return (

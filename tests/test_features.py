@@ -110,7 +110,7 @@ def test_mfa_interval_is_half_open(spark, log):
     m = enrich.mfa_attempt_matches(events, a)
     assert sorted((r.duo_id, r.attempt_id) for r in m.where("attempt_id IS NOT NULL").collect()) == [(7, 1), (7, 2)]
     assert m.where("duo_id = 8").first().attempt_id is None
-    counts = enrich.mfa_counts(m, a).first()
+    counts = enrich.mfa_counts(m).first()
     assert (counts.success, counts.denied, counts.fraud) == (2, 0, 0)
 
 
