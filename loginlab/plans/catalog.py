@@ -210,27 +210,27 @@ def _find_campaigns(spark, sf) -> DataFrame:
 
 
 def _stream(spark, sf) -> DataFrame:
-    log = derived.attempts_table(spark, sf)
     folder = source.scratch_table(spark, "stream")
-    stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/d=", 1)[0])
-    counts = daily.alerts(daily.daily_counts(stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))))
+    found = daily.alerts(daily.daily_counts(derived.attempts_stream(spark, sf)))
     query = (
-        counts.writeStream.format("parquet")
+        found.writeStream.format("parquet")
         .option("path", f"{folder}/alerts")
         .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return present(spark.read.schema(counts.schema).parquet(f"{folder}/alerts"))
+    alerts = spark.read.schema(found.schema).parquet(f"{folder}/alerts")
+    return present(alerts.select("client_ip", "d", "NR", "FF"))
 
 
 def _refresh(spark, sf) -> DataFrame:
-    log = derived.attempts_table(spark, sf)
     folder = source.scratch_table(spark, "refresh")
-    stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/d=", 1)[0])
     daily.keep_features_current(
-        stream, f"{folder}/log", f"{folder}/features", f"{folder}/state"
+        derived.attempts_stream(spark, sf),
+        f"{folder}/log",
+        f"{folder}/features",
+        f"{folder}/state",
     ).awaitTermination()
     return present(spark.read.parquet(f"{folder}/features").select("client_ip", "d", "NR", "NU"))
 

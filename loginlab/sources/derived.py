@@ -136,18 +136,30 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_history(_base(spark, sf_dir)).drop("user_id", "v", "k", "pw", "uan")
 
 
-_tables: dict[tuple[str, str], str] = {}
+_tables: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
-def attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempt log as a Parquet table partitioned by day, written once per
-    Spark application to the shared folder."""
+def _table(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
+        log = attempts(spark, sf_dir)
         path = scratch_table(spark, "attempts")
-        attempts(spark, sf_dir).repartition("d").write.partitionBy("d").parquet(path)
-        _tables[key] = path
-    return spark.read.parquet(_tables[key])
+        writers = spark.sparkContext.defaultParallelism
+        log.repartition(writers, "d").write.partitionBy("d").parquet(path)
+        _tables[key] = path, spark.read.schema(log.schema).parquet(path)
+    return _tables[key]
+
+
+def attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempt log as a Parquet table partitioned by day, written once per
+    Spark application to the shared folder."""
+    return _table(spark, sf_dir)[1]
+
+
+def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    path, log = _table(spark, sf_dir)
+    return spark.readStream.schema(log.schema).parquet(path)
 
 
 def _sessions(rows: DataFrame, sid: str, keys) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loginlab.functions.columns import epoch_seconds
 from loginlab.operators.features import ip_day_features
 from loginlab.operators.selection import MIN_ATTEMPTS, MIN_FAILURES
 from loginlab.sources.attempts import write_features
@@ -14,16 +15,21 @@ from loginlab.sources.attempts import write_features
 def daily_counts(attempts: DataFrame, late: str = "2 hours") -> DataFrame:
     """Attempts, failure share and approximate distinct users per IP and day of a
     streaming log; a day is final once the watermark has passed its end."""
-    day = F.window("timestamp", "1 day")
+    # the wall clock of the log, whatever the session time zone is
+    clock = F.timestamp_seconds(epoch_seconds("timestamp"))
+    start = F.unix_seconds("day.start") / F.lit(86400)
     return (
-        attempts.withWatermark("timestamp", late)
-        .groupBy(day.alias("day"), "client_ip")
+        attempts.withColumn("clock", clock)
+        .withWatermark("clock", late)
+        .groupBy(F.window("clock", "1 day").alias("day"), "client_ip")
         .agg(
             F.count("*").alias("NR"),
             (1 - F.avg("result")).alias("FF"),
             F.approx_count_distinct("username").alias("NU_approx"),
         )
-        .select("client_ip", F.to_date("day.start").alias("d"), "NR", "FF", "NU_approx")
+        .select(
+            "client_ip", F.date_from_unix_date(start.cast("int")).alias("d"), "NR", "FF", "NU_approx"
+        )
     )
 
 

@@ -367,6 +367,12 @@ O["write_features"] = with_(
 O["ip_day_features_refresh"] = with_(
     FEATURES, f'SELECT {columns(["client_ip", "d", "NR", "NU"])} FROM features'
 )
+# days that ended two hours or more before the newest attempt
+O["ip_day_features_stream"] = plain(
+    f"""SELECT client_ip, {DAY}, count(*) AS "NR", round(1 - avg(result), 6) AS "FF" FROM attempts
+    WHERE d + 1 <= (SELECT max("timestamp") FROM attempts) - INTERVAL 2 HOUR
+    GROUP BY client_ip, d HAVING count(*) > 7 AND 1 - avg(result) > 0.8"""
+)
 _W = f"WHERE {RANGE}"
 O["ip_features_window"] = with_(
     FULL

@@ -1,8 +1,6 @@
 import json
 from datetime import date
 
-from pyspark.sql import functions as F
-
 from loginlab.operators import detectors, features
 from loginlab.sources import attempts as source
 from loginlab.streaming import daily
@@ -67,7 +65,7 @@ def test_refresh_matches_the_batch(spark, log, tmp_path):
 def test_alerts_on_finished_days(spark, log, tmp_path):
     # in one batch, so nothing arrives late
     _, stream = _stream(spark, log, tmp_path, 100)
-    counts = daily.daily_counts(stream.withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    counts = daily.daily_counts(stream)
     query = (
         daily.alerts(counts).writeStream.format("parquet").option("path", str(tmp_path / "alerts"))
         .option("checkpointLocation", str(tmp_path / "alert_state")).trigger(availableNow=True).start()
