@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loginlab.functions.columns import epoch_seconds
 
-SLICE_SECONDS = 1800
+SLICE_SECONDS = 7200
 
 
 def _sliced(df: DataFrame, slice_seconds: int) -> DataFrame:

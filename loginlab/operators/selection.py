@@ -40,23 +40,34 @@ LSET_COLUMNS = [
 ]
 
 
-def lsets(attempts: DataFrame, prefixes: DataFrame, mfa_log: DataFrame) -> DataFrame:
+def lsets(
+    attempts: DataFrame,
+    prefixes: DataFrame,
+    mfa_log: DataFrame,
+    chosen: DataFrame | None = None,
+) -> DataFrame:
     """Feature rows with network, user-agent, second-factor and password columns.
 
-    Usernames stay in :func:`loginlab.operators.features.lset_usernames`.
+    ``chosen`` are feature rows already selected; then only their attempts, and the
+    days of their users, are read for the added columns. Usernames stay in
+    :func:`loginlab.operators.features.lset_usernames`.
     """
-    f = features.ip_day_features(attempts)
-    networks = enrich.ip_networks(attempts, prefixes)
-    matches = enrich.mfa_attempt_matches(mfa_log, attempts)
-    mfa = enrich.mfa_counts(matches).select("client_ip", "d", "duo_responses")
     key = ["client_ip", "d"]
+    f = features.ip_day_features(attempts) if chosen is None else chosen
+    mine = whole_days = attempts
+    if chosen is not None:
+        mine = attempts.join(chosen.select(*key), key, "left_semi")
+        users = mine.select("username", "d").distinct()
+        whole_days = attempts.join(users, ["username", "d"], "left_semi")
+    passwords = features.unique_passwords_per_user(whole_days).drop("unique_submissions")
+    mfa = enrich.mfa_counts(enrich.mfa_attempt_matches(mfa_log, mine))
     empty = F.create_map().cast("map<string,bigint>")
     none = F.lit('{"success":0,"denied":0,"fraud":0}')
     return (
-        f.join(features.unique_passwords_per_user(attempts).drop("unique_submissions"), key, "left")
-        .join(enrich.user_agent_counts(attempts), key, "left")
-        .join(mfa, key, "left")
-        .join(networks, "client_ip", "left")
+        f.join(passwords, key, "left")
+        .join(enrich.user_agent_counts(mine), key, "left")
+        .join(mfa.select(*key, "duo_responses"), key, "left")
+        .join(enrich.ip_networks(mine, prefixes), "client_ip", "left")
         .withColumns(
             {
                 "id": F.concat_ws("|", "client_ip", "d"),

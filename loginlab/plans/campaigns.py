@@ -20,8 +20,12 @@ class Inputs:
 
 
 def suspicious_lsets(inputs: Inputs) -> DataFrame:
-    """The filtered feature rows, computed once and kept for the steps after."""
-    rows = selection.lsets(inputs.attempts, inputs.prefixes, inputs.mfa_log)
+    """The filtered feature rows, computed once and kept for the steps after. The
+    high failure rate is decided on the plain features, before anything is added."""
+    high = features.ip_day_features(inputs.attempts).where(selection.high_failure_rate())
+    rows = selection.lsets(
+        inputs.attempts, inputs.prefixes, inputs.mfa_log, materialize(high, "high_failure")
+    )
     return materialize(selection.filtered_lsets(rows), "lsets")
 
 

@@ -428,7 +428,7 @@ QUERIES: dict[str, Query] = {
     ),
     "filter_report": lambda spark, sf: present(selection.filter_report(_all_lsets(spark, sf))),
     "filtered_lsets": lambda spark, sf: present(
-        selection.filtered_lsets(_all_lsets(spark, sf)).select(*selection.LSET_COLUMNS)
+        plan.suspicious_lsets(_inputs(spark, sf)).select(*selection.LSET_COLUMNS)
     ),
     # distances of near pairs
     **{
