@@ -198,19 +198,43 @@ def lset_usernames(attempts: DataFrame) -> DataFrame:
     )
 
 
-_BASE = [
-    "num_attempts", "num_successes", "num_unique_usernames", "num_valid_users",
-    "num_password_in_breach", "num_strong_password_in_breach", "num_users_in_breach",
-    "num_pair_in_breach", "num_failed_pair_in_breach", "num_tweaked_passwords",
-    "zxcvbn_1", "zxcvbn_0", "null_user_agents", "num_unique_user_agents",
-    "unique_passwords_for_ip", "user_groups",
+_ADDITIVE = [
+    "num_attempts", "num_successes", "num_password_in_breach", "num_strong_password_in_breach",
+    "num_users_in_breach", "num_pair_in_breach", "num_failed_pair_in_breach",
+    "num_tweaked_passwords", "zxcvbn_1", "zxcvbn_0", "null_user_agents",
 ]
 
 
-def _with_gaps_and_codes(attempts: DataFrame, by) -> DataFrame:
-    base = metrics(attempts, *_BASE, by=by).where(
-        "num_attempts >= 2 AND num_attempts > num_successes"
+def _counts(attempts: DataFrame, by) -> DataFrame:
+    """All counts of a feature row. Counting per user first makes the distinct
+    users plain sums; only the user agents need a second, narrow pass."""
+    per_user = attempts.groupBy(*by, "username").agg(
+        *[METRICS[n]().alias(n) for n in _ADDITIVE],
+        F.max(_valid_user().cast("int")).alias("_valid"),
+        F.sum("is_unique_pws_by_ip").alias("_new"),
+    )
+    valid = F.when(F.col("username").isNotNull(), F.col("_valid"))
+    counts = per_user.groupBy(*by).agg(
+        *[F.sum(n).alias(n) for n in _ADDITIVE],
+        F.count("username").alias("num_unique_usernames"),
+        F.coalesce(F.sum(valid), F.lit(0)).alias("num_valid_users"),
+        F.coalesce(F.sum("_new"), F.lit(-1)).alias("unique_passwords_for_ip"),
+        F.count("*").alias("user_groups"),
+    )
+    agents = (
+        attempts.where("user_agent IS NOT NULL")
+        .select(*by, "user_agent")
+        .distinct()
+        .groupBy(*by)
+        .agg(F.count("*").alias("_agents"))
     )
+    return counts.join(agents, list(by), "left").withColumn(
+        "num_unique_user_agents", F.coalesce("_agents", F.lit(0))
+    )
+
+
+def _with_gaps_and_codes(attempts: DataFrame, by) -> DataFrame:
+    base = _counts(attempts, by).where("num_attempts >= 2 AND num_attempts > num_successes")
     return base.join(_gap_stats(attempts, by), list(by), "left").join(
         result_code_map(attempts, by), list(by)
     )
