@@ -1,17 +1,19 @@
 """The named queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from loginlab.llm import byte_bpe, exact_dedup, packing, token_counts, url_filters
+from loginlab.llm import byte_bpe, exact_dedup, licenses, packing, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_license_scans": licenses.op4_license_scans,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_url_filters": url_filters.ORACLE_SQL,
+    "op4_license_scans": licenses.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
 }
