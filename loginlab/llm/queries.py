@@ -1,7 +1,7 @@
 """The named queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from loginlab.llm import byte_bpe, exact_dedup, licenses, packing, token_counts, url_filters
+from loginlab.llm import byte_bpe, exact_dedup, licenses, packing, site_lines, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_license_scans": licenses.op4_license_scans,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op10_site_lines": site_lines.op10_site_lines,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_url_filters": url_filters.ORACLE_SQL,
     "op4_license_scans": licenses.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_site_lines": site_lines.ORACLE_SQL,
 }
