@@ -1,7 +1,7 @@
 """The named queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from loginlab.llm import byte_bpe, exact_dedup, licenses, packing, site_lines, token_counts, url_filters
+from loginlab.llm import byte_bpe, exact_dedup, licenses, nearest, packing, site_lines, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_site_lines": site_lines.op10_site_lines,
+    "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
