@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,12 @@ try:
 except ImportError:
     TOKENIZER_FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 
+# fixed value: Unicode's white space, as a character class
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space after something else always begins a pre-token, so a text's tokens are those of
+#: its segments: white space and what follows up to the next white space.
+SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+
 _kept: dict = {}
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import pickle
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loginlab.llm import chunks
-from loginlab.llm.common import TOKENIZER_FOLDER, per_process, table
+from loginlab.llm.common import SEGMENT, TOKENIZER_FOLDER, WHITE, per_process, table
 
 CHUNK = 32768  # characters
 FAN_IN = 64  # chunk maps combined at the first level of the scan
-MOST_ROWS = 150_000  # states kept by one process before the transducer starts afresh
+MOST_ROWS = 250_000  # states kept by one process before the transducer starts afresh
+MOST_PATHS = 400_000  # segments whose path through the transducer one process remembers
 
 
 class Merges:
@@ -37,16 +39,28 @@ class Merges:
             model = json.load(f)
         plain = _byte_of_letter()
         raw = lambda s: bytes(plain[c] for c in s)
-        self.token = {raw(k): v for k, v in model["model"]["vocab"].items()}
+        vocabulary = {raw(k): v for k, v in model["model"]["vocab"].items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for n, pair in enumerate(model["model"]["merges"]):
             a, b = map(raw, pair if isinstance(pair, list) else pair.split(" "))
-            key = self.token[a], self.token[b]
+            key = vocabulary[a], vocabulary[b]
             self.rank[key] = n
-            self.parts.setdefault(self.token[a + b], (*key, n))
-        self.longer = {k[:n] for k in self.token for n in range(len(k))}
+            self.parts.setdefault(vocabulary[a + b], (*key, n))
         self.special = [t["content"] for t in model.get("added_tokens", []) if t["special"]]
+        # a trie of the tokens; node * 256 + byte leads to the next node
+        self.next: dict[int, int] = {}
+        self.token = [-1]
+        self.inner = [True]  # a longer token goes on
+        for word, token in sorted(vocabulary.items()):
+            node = 0
+            for b in word:
+                self.inner[node] = True
+                node = self.next.setdefault(node << 8 | b, len(self.token))
+                if node == len(self.token):
+                    self.token.append(-1)
+                    self.inner.append(False)
+            self.token[node] = token
 
     def apart(self, x: int, y: int) -> bool:
         """True if x followed by y is how BPE leaves their bytes. Going back in time from
@@ -74,17 +88,26 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
-class Open:
-    """The merges inside a pre-token that is still open: for each suffix that may begin a
-    longer token, its length, the last token before it (-1: none) and the tokens since."""
+# The merges inside an open pre-token are a flat tuple: for each suffix that may begin a longer
+# token, longest first, its node in the trie, the last token before it (-1: none) and the
+# number of tokens since.
+EMPTY = (0, -1, 0)
 
-    __slots__ = ("suffix", "entries", "after")
 
-    def __init__(self, suffix, entries):
-        self.suffix, self.entries, self.after = suffix, entries, {}
+class Paths(dict):
+    """Tokens on the way from the start state through a segment."""
 
+    def __init__(self, machine):
+        self.machine = machine
 
-START = b"", ((0, -1, 0),)
+    def __missing__(self, segment):
+        if len(self) > MOST_PATHS:
+            self.clear()
+        n = self[segment] = self.machine.run(self.machine.start, segment)[1]
+        return n
+
+
+FIRST_SYNC = re.compile(f"[^{WHITE}](?=[{WHITE}])")
 
 
 class Transducer:
@@ -93,7 +116,7 @@ class Transducer:
     A state consists of the pre-tokenizer's mode, the state of the merges inside the open
     pre-token, and, while the beginning of a special token has been read, the state before it.
     ``rows`` has a dictionary per state, from character to ⟨next dictionary, change⟩; under None
-    it holds the state itself. Both tables start afresh once they have ``MOST_ROWS`` states.
+    it holds the state itself. The table starts afresh once it has ``MOST_ROWS`` states.
     """
 
     def __init__(self, path: str):
@@ -102,6 +125,7 @@ class Transducer:
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.merges = Merges(path)
         self.kinds: dict[str, str] = {}
+        self.paths = Paths(self)
         if len(self.merges.special) > 1 or any(s.count(s[0]) > 1 for s in self.merges.special):
             raise ValueError("more than one special token, or one that overlaps itself")
         self.special = (self.merges.special or [""])[0]
@@ -109,61 +133,39 @@ class Transducer:
 
     def clear(self):
         self.rows: dict = {}
-        self.opens_: dict = {}
-        self.empty = self.open(START)
         self.start = self.row((("S",), 0, None, 0))
 
-    def open(self, key) -> Open:
-        found = self.opens_.get(key)
-        if found is None:
-            found = self.opens_[key] = Open(*key)
-        return found
-
     def row(self, state) -> dict:
         found = self.rows.get(state)
         if found is None:
             found = self.rows[state] = {None: state}
         return found
 
-    def packed(self, row: dict) -> bytes:
-        """The state without references to this process's tables."""
-        flat = lambda m: m and tuple((x.suffix, x.entries) if isinstance(x, Open) else x for x in m)
-        mode, matched, before, since = row[None]
-        return pickle.dumps((flat(mode), matched, flat(before), since))
-
-    def unpacked(self, data: bytes) -> dict:
-        back = lambda m: m and tuple(self.open(x) if isinstance(x, tuple) else x for x in m)
-        mode, matched, before, since = pickle.loads(data)
-        return self.row((back(mode), matched, back(before), since))
-
     # -- merges ---------------------------------------------------------------------------
 
-    def byte(self, at: Open, b: int):
-        """The merges after one more byte, and the change in tokens."""
-        suffix = at.suffix + bytes((b,))
+    def feed(self, at: tuple, text: str):
+        """The merges after more characters, and the change in tokens."""
         merges = self.merges
-        for length, last, since in at.entries:
-            token = merges.token.get(suffix[-length - 1 :])
-            if token is not None and (last < 0 or merges.apart(last, token)):
-                change = 1 - since
-                kept = [
-                    (length2 + 1, last2, since2 + change)
-                    for length2, last2, since2 in at.entries
-                    if suffix[-length2 - 1 :] in merges.longer
-                ]
-                kept.append((0, token, 0))
-                return self.open((suffix[len(suffix) - kept[0][0] :], tuple(kept))), change
-        raise ValueError("no token ends here: the vocabulary lacks a byte")
-
-    def feed(self, at: Open, text: str):
-        change = 0
+        follow, tokens, inner = merges.next, merges.token, merges.inner
+        total = 0
         for b in text.encode("utf-8"):
-            step = at.after.get(b)
-            if step is None:
-                step = at.after[b] = self.byte(at, b)
-            at, d = step
-            change += d
-        return at, change
+            kept, ends = [], -1
+            for i in range(0, len(at), 3):
+                node = follow.get(at[i] << 8 | b)
+                if node is None:
+                    continue
+                last = at[i + 1]
+                if ends < 0:
+                    token = tokens[node]
+                    if token >= 0 and (last < 0 or merges.apart(last, token)):
+                        ends, change = token, 1 - at[i + 2]
+                if inner[node]:
+                    kept.append((node, last, at[i + 2]))
+            if ends < 0:
+                raise ValueError("no token ends here: the vocabulary lacks a byte")
+            at = (*[x for node, last, since in kept for x in (node, last, since + change)], 0, ends, 0)
+            total += change
+        return at, total
 
     # -- pre-tokenizer --------------------------------------------------------------------
 
@@ -180,8 +182,8 @@ class Transducer:
         """ch begins a pre-token."""
         kind = self.kind(ch)
         if ch == "'":
-            return ("A",), self.feed(self.empty, ch)[1]
-        p, n = self.feed(self.empty, ch)
+            return ("A",), self.feed(EMPTY, ch)[1]
+        p, n = self.feed(EMPTY, ch)
         return ("W", p, -n, ch) if kind == "W" else (kind, p), n
 
     def mode(self, mode, ch: str):
@@ -195,24 +197,24 @@ class Transducer:
                 p, n = self.feed(p, ch)
                 return ("W", p, -n, ch), n
             if last == " ":
-                p, n = self.feed(self.empty, " " + ch)
+                p, n = self.feed(EMPTY, " " + ch)
                 return (kind, p), without_last + n
             new, n = self.opens(ch)
-            return new, without_last + self.feed(self.empty, last)[1] + n
+            return new, without_last + self.feed(EMPTY, last)[1] + n
         if name == "A":
             if ch in ("s", "t", "m", "d"):
-                return ("S",), self.feed(self.empty, "'" + ch)[1] - 1
+                return ("S",), self.feed(EMPTY, "'" + ch)[1] - 1
             if ch in ("r", "v", "l"):
-                p, n = self.feed(self.empty, ch)
+                p, n = self.feed(EMPTY, ch)
                 return ("B", p, ch), n
             if kind == "O":
-                p, n = self.feed(self.empty, "'" + ch)
+                p, n = self.feed(EMPTY, "'" + ch)
                 return ("O", p), n - 1
             return self.opens(ch)
         if name == "B":
             _, p, first = mode
             if first + ch in ("re", "ve", "ll"):
-                return ("S",), self.feed(self.empty, "'" + first + ch)[1] - 1 - self.feed(self.empty, first)[1]
+                return ("S",), self.feed(EMPTY, "'" + first + ch)[1] - 1 - self.feed(EMPTY, first)[1]
             name, mode = "L", ("L", p)
         if kind == name:
             p, n = self.feed(mode[1], ch)
@@ -252,7 +254,7 @@ class Transducer:
     def count(self, text: str) -> int:
         if len(self.rows) > MOST_ROWS:
             self.clear()
-        return self.run(self.start, text)[1]
+        return sum(map(self.paths.__getitem__, SEGMENT.findall(text)))
 
     def state_map(self, text: str):
         """⟨head, count, end⟩. White space after something else begins a pre-token whatever
@@ -261,22 +263,20 @@ class Transducer:
         chunk is head and ``end`` is None."""
         if len(self.rows) > MOST_ROWS:
             self.clear()
-        open_ = False
-        for i, ch in enumerate(text):
-            if self.kind(ch) == "W":
-                if open_:
-                    row, n = self.run(self.start, text[i:])
-                    return text[:i], n, self.packed(row)
-            else:
-                open_ = True
-        return text, 0, None
+        found = FIRST_SYNC.search(text)
+        if not found:
+            return text, 0, None
+        at = found.end()
+        segments = SEGMENT.findall(text, at)
+        row, n = self.run(self.start, segments[-1])
+        return text[:at], n + sum(map(self.paths.__getitem__, segments[:-1])), pickle.dumps(row[None])
 
     def compose(self, a, b):
         if a[2] is None:
             return a[0] + b[0], b[1], b[2]
-        row, n = self.run(self.unpacked(a[2]), b[0])
+        row, n = self.run(self.row(pickle.loads(a[2])), b[0])
         if b[2] is None:
-            return a[0], a[1] + n, self.packed(row)
+            return a[0], a[1] + n, pickle.dumps(row[None])
         return a[0], a[1] + n + b[1], b[2]
 
     def outcome(self, state_map) -> int:
