@@ -6,6 +6,9 @@ overlap where both begin a pre-token: the pattern never looks back, so from ther
 Ids are kept as little-endian unsigned 32-bit integers in one binary column; decoding
 concatenates the raw bytes of the ids.
 
+Segments that occur often are encoded once and remembered. They need a pattern by which white space
+after something else begins a pre-token, as the public ones do.
+
 Null text counts as empty and has no ids. Repeated rows stay repeated. Columns other than the id and
 the text are ignored. An empty table gives an empty result. Strings that look like special tokens
 are ordinary text.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +27,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loginlab.llm import chunks
-from loginlab.llm.common import TOKENIZER_FOLDER, per_process, table
+from loginlab.llm.common import SEGMENT, TOKENIZER_FOLDER, per_process, table
 
 # fixed value: the pre-token pattern that belongs to the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = 32768  # characters
 OVERLAP = 512
+MOST_SEGMENTS = 400_000  # encoded segments kept by one process
+
+
+class Segments(dict):
+    """Ids of each segment, as integers and as decimals that each end with a comma."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, segment):
+        if len(self) > MOST_SEGMENTS:
+            self.clear()
+        ids = self.encode(segment)
+        found = self[segment] = pack(f"<{len(ids)}I", *ids), "".join([f"{n}," for n in ids])
+        return found
 
 
 class Codec:
@@ -40,13 +59,19 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern)
+        self.segments = Segments(self.library.encode_ordinary)
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, n in ranks.items():
             self.token[n] = token
         self.decimal = [str(n) for n in range(len(self.token))]
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
+        return b"".join([self.segments[x][0] for x in SEGMENT.findall(text)])
+
+    def encode_and_digest(self, text: str) -> tuple[bytes, str]:
+        found = list(map(self.segments.__getitem__, SEGMENT.findall(text)))
+        decimals = "".join([x[1] for x in found])[:-1]
+        return b"".join([x[0] for x in found]), hashlib.sha256(decimals.encode()).hexdigest()
 
     def window(self, text: str, size: int, overlap: int):
         """⟨head starts, head ids, body ids, tail starts, tail ids⟩ of a window of ``size``
@@ -108,13 +133,14 @@ def encode(
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                ids = [codec.encode(t) for t in part["text"].to_pylist()]
+                found = [codec.encode_and_digest(t) for t in part["text"].to_pylist()]
+                ids = [x[0] for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["id"],
                         pa.array(ids, pa.binary()),
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([codec.digest(x) for x in ids], pa.string()),
+                        pa.array([x[1] for x in found], pa.string()),
                     ],
                     ["id", "ids", "n_tokens", "ids_sha256"],
                 )

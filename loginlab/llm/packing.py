@@ -27,50 +27,54 @@ from loginlab.llm.common import TOKENIZER_FOLDER, kept, per_process, table
 
 CAPACITY = 2048
 END_ID = 0
-MOST_WORDS = 600_000  # encoded words kept by one process
+MOST_WORDS = 400_000  # encoded words, and runs of them, kept by one process
+SEPARATORS = re.compile("[\\x1c-\\x1f]")  # Python takes them for white space, Unicode does not
 RANKED_TOGETHER = 50_000  # rows of one length that one task puts in order
 
 
-class Words(dict):
-    """Ids of each word, from the library's merge model."""
+class Memory(dict):
+    def __init__(self, make):
+        self.make = make
 
-    def __init__(self, model):
-        self.model = model
-        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: 256 + n for n, b in enumerate(hidden)}  # how files write such bytes
-
-    def __missing__(self, word):
+    def __missing__(self, key):
         if len(self) > MOST_WORDS:
             self.clear()
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = self[word] = np.array([t.id for t in found], "<u4").tobytes()
-        return ids
+        found = self[key] = self.make(key)
+        return found
 
 
 class WordEncoder:
     """Ids of a tokenizer file whose pre-tokens are words. Where a text has only characters
     below U+0180 and no special token, normalisation is lower-casing and white space only
-    separates, so words are encoded one by one and remembered; other texts go to the
-    library whole. Both give the library's ids."""
+    separates, so runs without white space, and the words in them, are encoded one by one
+    and remembered; other texts go to the library whole. Both give the library's ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = Words(self.library.model)
+        self.model = self.library.model
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: 256 + n for n, b in enumerate(hidden)}  # how files write such bytes
         kind = lambda k: "".join(
             re.escape(c) for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k
         )
-        space, letters, numbers = "\\t-\\r \\x85\\xa0", kind("L"), kind("N")
-        self.split = re.compile(
-            f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+"
-        )
+        letters, numbers = kind("L"), kind("N")
+        self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{letters}{numbers}]+")
         self.beyond = re.compile("[^\\x00-\\u017f]")
+        self.words = Memory(self.word)
+        self.runs = Memory(lambda run: b"".join(map(self.words.__getitem__, self.split.findall(run))))
+
+    def word(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in found], "<u4").tobytes()
 
     def plain(self, text: str) -> bool:
         if "<|" in text and re.search(r"<\|(?:startoftext|endoftext)\|>", text):
             return False
+        if SEPARATORS.search(text):
+            return False
         try:
             text.encode("latin-1")
             return True
@@ -80,7 +84,7 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         if not self.plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, self.split.findall(text.lower())))
+        return b"".join(map(self.runs.__getitem__, text.lower().split()))
 
 
 def token_pieces(
