@@ -1,7 +1,7 @@
 """The named queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from loginlab.llm import byte_bpe, exact_dedup, licenses, nearest, packing, site_lines, token_counts, url_filters
+from loginlab.llm import byte_bpe, exact_dedup, licenses, near_duplicates, nearest, packing, site_lines, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_site_lines": site_lines.op10_site_lines,
     "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
+    "op6_ngram_jaccard_join": near_duplicates.op6_ngram_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
