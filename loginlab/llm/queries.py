@@ -1,7 +1,7 @@
 """The named queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from loginlab.llm import byte_bpe, exact_dedup, licenses, near_duplicates, nearest, packing, site_lines, token_counts, url_filters
+from loginlab.llm import byte_bpe, exact_dedup, languages, licenses, near_duplicates, nearest, packing, site_lines, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op10_site_lines": site_lines.op10_site_lines,
     "op8_nearest_neighbours": nearest.op8_nearest_neighbours,
     "op6_ngram_jaccard_join": near_duplicates.op6_ngram_jaccard_join,
+    "op9_language_id": languages.op9_language_id,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
