@@ -81,12 +81,9 @@ class Codec:
         if cut:
             sure = min(found[-1][0], len(text) - 3)  # a contraction has up to three characters
             found = [x for x in found if x[0] < sure]
-            sure = min(sure, max((x[0] + len(x[1]) for x in found), default=0))
-        head = [(s, self.encode(w)) for s, w in found if s < overlap]
-        tail = [(s, self.encode(w)) for s, w in found if s >= size]
-        inside = [s for s, _ in found if overlap <= s < size]
-        end = tail[0][0] if tail else sure if cut else len(text)
-        body = self.encode(text[inside[0] : end]) if inside else b""
+        part = lambda a, b: [(s, self.segments[w][0]) for s, w in found if a <= s < b]
+        head, tail = part(0, overlap), part(size, len(text))
+        body = b"".join([ids for _, ids in part(overlap, size)])
         return [s for s, _ in head], [i for _, i in head], body, [s for s, _ in tail], [i for _, i in tail]
 
     def stitch(self, windows, size: int, overlap: int) -> bytes:
