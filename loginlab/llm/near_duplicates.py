@@ -172,6 +172,23 @@ def _search(ids, sizes, sketches, threshold: float, out: list, depth=0, seed=0)
             _search(ids[part], sizes[part], sketches[part], threshold, out, depth + 1, int(rng.integers(2**60)))
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few pairs as connect what the given ones connect."""
+    ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = where[: len(a)], where[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            at = np.nonzero(root != np.arange(len(ids)))[0]
+            return ids[at], ids[root[at]]
+        root = new
+
+
 def _candidate_edges(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
     """⟨a, b⟩ pairs of sets that span the groups of sets that may be alike."""
     chosen_ = kept(sets.select("rec", F.explode("buckets").alias("bucket")))
@@ -205,7 +222,10 @@ def _candidate_edges(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
             out.append((ids[pair[near] + 1], ids[pair[near]]))
             for a, b in zip(cut[:-1], cut[1:]):
                 if b - a > 2:
-                    _search(ids[a:b], sizes[a:b], sketches[a:b], threshold, out, 0, int(bucket[a]) & (2**60 - 1))
+                    found: list = []
+                    _search(ids[a:b], sizes[a:b], sketches[a:b], threshold, found, 0, int(bucket[a]) & (2**60 - 1))
+                    if found:
+                        out.append(_spanning(*(np.concatenate([x[k] for x in found]) for k in range(2))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([x[k] for x in out])) for k in range(2)], ["a", "b"]
             )
