@@ -116,10 +116,10 @@ def dist_volume(a, b, passwords: bool = True) -> Column:
     return _total([F.abs(_ratio(_number(a, c), _number(b, c))) for c in names])
 
 
-def parts(a, b, passwords: bool = True) -> dict[str, Column]:
+def parts(a, b, passwords: bool = True, missing_matches: bool = True) -> dict[str, Column]:
     """Every part but the usernames."""
     out = {
-        "dist_ip": dist_ip(a, b),
+        "dist_ip": dist_ip(a, b, missing_matches),
         "dist_date": dist_date(a, b),
         "dist_interarrival": dist_interarrival(a, b),
         "dist_result": dist_result(a, b),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loginlab.functions.columns import all_of
 
-# fixed value: attempts at or before this moment are ignored by every filter
+# fixed value: the moment up to which a filter may ignore attempts, if told to by ``floor``
 LOG_FLOOR = "2020-11-26 00:00:00"
 
 # filter argument -> column of the attempt log
@@ -29,7 +29,7 @@ def _moment(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
-def attempt_filter(start=None, end=None, floor=LOG_FLOOR, **equal) -> Column:
+def attempt_filter(start=None, end=None, floor=None, **equal) -> Column:
     """Predicate for ``start <= timestamp < end``, ``timestamp > floor`` and any
     of the equality filters that is not None."""
     unknown = set(equal) - set(EQUALITY_FILTERS)

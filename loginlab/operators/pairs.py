@@ -53,21 +53,54 @@ def near_pairs(
     max_distance: float = MAX_DISTANCE,
     passwords: bool = True,
     rows_per_block: int = ROWS_PER_BLOCK,
+    missing_matches: bool = True,
 ) -> DataFrame:
     """All pairs ``i < j`` of feature rows with distance under ``max_distance``,
-    with every part of the distance.
+    with every part of the distance. Without ``passwords`` the password features are left
+    out; without ``missing_matches`` unknown networks and ISPs are no common ones.
 
     ``usernames`` holds one row per feature row and username (``id, username``).
     """
     if not 0 < max_distance < 2 * distance.OUTER_WEIGHT:
         raise ValueError("max_distance must be between 0 and 0.5")
-    candidates = materialize(
-        _candidates(lsets.select(*NEEDED), max_distance, passwords, rows_per_block), "candidates"
-    ).where(_distance_without_usernames(passwords) < max_distance)
-    return _with_usernames(candidates, usernames, max_distance, passwords)
+    rows = lsets.select(*NEEDED)
+    candidates = _candidates(rows, max_distance, passwords, rows_per_block, missing_matches)
+    least = F.col("least_usernames") * distance.weight("dist_usernames", passwords)
+    close = candidates.where(_distance_without_usernames(passwords) + least < max_distance)
+    close = materialize(close.drop("least_usernames"), "candidates")
+    return _with_usernames(close, usernames, passwords).where(F.col("dist") < max_distance)
 
 
-def _meeting_keys(max_distance: float, passwords: bool, neighbours: bool):
+def distances_of(
+    pairs: DataFrame,
+    lsets: DataFrame,
+    usernames: DataFrame,
+    passwords: bool = True,
+    missing_matches: bool = True,
+) -> DataFrame:
+    """The given pairs ``i, j`` with their true distance, whatever it is."""
+    rows = lsets.select(*NEEDED)
+    a = lambda c: F.col(f"a.{c}")
+    b = lambda c: F.col(f"b.{c}")
+    both = (
+        pairs.alias("p")
+        .join(rows.alias("a"), F.col("p.i") == a("id"))
+        .join(rows.alias("b"), F.col("p.j") == b("id"))
+        .select(
+            F.col("p.i").alias("i"),
+            F.col("p.j").alias("j"),
+            a("NU").alias("nu_i"),
+            b("NU").alias("nu_j"),
+            *[c.alias(n) for n, c in distance.parts(a, b, passwords, missing_matches).items()],
+        )
+    )
+    both = materialize(both, "asked")
+    return _with_usernames(both, usernames, passwords).select("i", "j", "dist")
+
+
+def _meeting_keys(
+    max_distance: float, passwords: bool, neighbours: bool, missing_matches: bool = True
+):
     """The keys under which a row meets others: ⟨kinship, shared value, day⟩. The
     visiting side (``neighbours``) also appears on the nearby days."""
     slack = distance.INNER_WEIGHT[passwords] if passwords else 0.0
@@ -86,34 +119,42 @@ def _meeting_keys(max_distance: float, passwords: bool, neighbours: bool):
                     (any_day if days is None else F.date_add("DATE", n)).alias("_day"),
                 )
             )
-    return F.array(*keys)
+    keys = F.array(*keys)
+    if missing_matches:
+        return keys
+    return F.filter(keys, lambda k: ~(k["_kind"].isin(1, 2) & (k["_key"] == "NA")))
 
 
-def _candidates(rows, max_distance, passwords, rows_per_block) -> DataFrame:
-    """Pairs whose distance without the usernames and user agents is under the
-    limit. A key with many rows is split into blocks: one side is spread over the
+def _candidates(rows, max_distance, passwords, rows_per_block, missing_matches=True) -> DataFrame:
+    """Pairs whose distance without the user agents, and with the least that the usernames
+    can add, is under the limit. A key with many rows is split into blocks: one side is spread over the
     blocks, the other visits all of them, so no task holds a hot key."""
     key = ["_kind", "_key", "_day"]
-    home = rows.select("*", F.inline(_meeting_keys(max_distance, passwords, False)))
+    home = rows.select("*", F.inline(_meeting_keys(max_distance, passwords, False, missing_matches)))
     sizes = home.groupBy(*key).agg(
         F.ceil(F.count("*") / F.lit(rows_per_block)).cast("int").alias("_blocks")
     )
     own_block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     home = home.join(sizes, key).withColumn("_block", own_block)
     visiting = (
-        rows.select("*", F.inline(_meeting_keys(max_distance, passwords, True)))
+        rows.select("*", F.inline(_meeting_keys(max_distance, passwords, True, missing_matches)))
         .join(sizes, key)
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     )
     a = lambda c: F.col(f"a.{c}")
     b = lambda c: F.col(f"b.{c}")
-    parts = distance.parts(a, b, passwords)
-    bound = distance.weighted_sum(
-        {n: c for n, c in parts.items() if n != "dist_user_agent"}, passwords
-    )
+    parts = distance.parts(a, b, passwords, missing_matches)
+    # rows with few and many usernames cannot share most of them
+    names = F.greatest(a("NU"), b("NU"))
+    least = 1 - F.coalesce(F.try_divide(F.least(a("NU"), b("NU")), names), F.lit(0.0))
+    cheap = {n: c for n, c in parts.items() if n != "dist_user_agent"}
+    bound = distance.weighted_sum(cheap | {"dist_usernames": least}, passwords)
     closest = F.lit(len(KINSHIP) - 1)
     for kind, (shared, _) in reversed(list(enumerate(KINSHIP[:-1]))):
-        closest = F.when(a(shared) == b(shared), kind).otherwise(closest)
+        same = a(shared) == b(shared)
+        if kind and not missing_matches:
+            same = same & (a(shared) != "NA")
+        closest = F.when(same, kind).otherwise(closest)
     on = all_of(
         [a(k) == b(k) for k in [*key, "_block"]]
         + [a("id") < b("id"), a("_kind") == closest, bound < max_distance]
@@ -126,6 +167,7 @@ def _candidates(rows, max_distance, passwords, rows_per_block) -> DataFrame:
             b("id").alias("j"),
             a("NU").alias("nu_i"),
             b("NU").alias("nu_j"),
+            least.alias("least_usernames"),
             *[c.alias(n) for n, c in parts.items()],
         )
     )
@@ -142,7 +184,7 @@ def _distance_without_usernames(passwords: bool):
     return distance.weighted_sum({n: F.col(n) for n in _part_names(passwords)}, passwords)
 
 
-def _with_usernames(candidates, usernames, max_distance, passwords) -> DataFrame:
+def _with_usernames(candidates, usernames, passwords) -> DataFrame:
     """Adds the username part. The shorter list is looked up in the longer one, as
     rows keyed by ⟨feature row, username⟩."""
     names = usernames.select("id", "username")
@@ -172,7 +214,6 @@ def _with_usernames(candidates, usernames, max_distance, passwords) -> DataFrame
         .withColumn(
             "dist", _distance_without_usernames(passwords) + F.col("dist_usernames") * w
         )
-        .where(F.col("dist") < max_distance)
         .drop("nu_i", "nu_j")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,20 @@ LSET_COLUMNS = [
 ]
 
 
+@dataclass
+class Rules:
+    """What the filters take for suspicious and for benign."""
+
+    min_attempts: int = MIN_ATTEMPTS
+    min_failures: float = MIN_FAILURES
+    min_password_share: float = MIN_PASSWORD_SHARE
+    networks: list[str] = field(default_factory=lambda: list(INSTITUTION_NETWORKS))
+    isp_patterns: list[str] = field(default_factory=lambda: list(INSTITUTION_PATTERNS))
+
+    def selected(self) -> Column:
+        return high_failure_rate(self.min_attempts, self.min_failures)
+
+
 def lsets(
     attempts: DataFrame,
     prefixes: DataFrame,
@@ -117,30 +133,33 @@ def plausible_client(share=MIN_PASSWORD_SHARE) -> Column:
     return F.col("AUPPU") * F.col("NU") / F.col("NR") > share
 
 
-def steps() -> dict[str, Column]:
+def steps(rules: Rules | None = None) -> dict[str, Column]:
     """The filters after the high-failure-rate selection, in order."""
+    rules = rules or Rules()
     return {
         "after_mfa": no_mfa_success(),
-        "after_networks": ~in_networks(),
-        "after_isp": ~institution_isp(),
-        "after_malformed": plausible_client(),
+        "after_networks": ~in_networks(networks=rules.networks),
+        "after_isp": ~institution_isp(patterns=rules.isp_patterns),
+        "after_malformed": plausible_client(rules.min_password_share),
     }
 
 
-def filtered_lsets(all_lsets: DataFrame) -> DataFrame:
-    out = all_lsets.where(high_failure_rate())
-    for keep in steps().values():
+def filtered_lsets(all_lsets: DataFrame, rules: Rules | None = None) -> DataFrame:
+    rules = rules or Rules()
+    out = all_lsets.where(rules.selected())
+    for keep in steps(rules).values():
         out = out.where(keep)
     return out
 
 
-def filter_report(all_lsets: DataFrame) -> DataFrame:
+def filter_report(all_lsets: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Rows left after every step, from one pass."""
-    failed_first = F.lit(len(steps()))
-    for i, keep in reversed(list(enumerate(steps().values()))):
+    rules = rules or Rules()
+    failed_first = F.lit(len(steps(rules)))
+    for i, keep in reversed(list(enumerate(steps(rules).values()))):
         failed_first = F.when(keep, failed_first).otherwise(i)
     reached = (
-        all_lsets.where(high_failure_rate())
+        all_lsets.where(rules.selected())
         .select(failed_first.alias("passed"))
         .groupBy("passed")
         .agg(F.count("*").alias("n"))
@@ -149,7 +168,7 @@ def filter_report(all_lsets: DataFrame) -> DataFrame:
         F.sum("n").alias("selected"),
         *[
             F.sum(F.when(F.col("passed") > i, F.col("n")).otherwise(0)).alias(name)
-            for i, name in enumerate(steps())
+            for i, name in enumerate(steps(rules))
         ],
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loginlab.operators import campaigns, clustering, features, pairs, selection
-from loginlab.sources.attempts import materialize
+from loginlab.sources.attempts import materialize, release
 
 
 @dataclass
@@ -19,14 +19,17 @@ class Inputs:
     compromised: DataFrame
 
 
-def suspicious_lsets(inputs: Inputs) -> DataFrame:
+def suspicious_lsets(inputs: Inputs, rules: selection.Rules | None = None) -> DataFrame:
     """The filtered feature rows, computed once and kept for the steps after. The
     high failure rate is decided on the plain features, before anything is added."""
-    high = features.ip_day_features(inputs.attempts).where(selection.high_failure_rate())
-    rows = selection.lsets(
-        inputs.attempts, inputs.prefixes, inputs.mfa_log, materialize(high, "high_failure")
+    rules = rules or selection.Rules()
+    high = materialize(
+        features.ip_day_features(inputs.attempts).where(rules.selected()), "high_failure"
     )
-    return materialize(selection.filtered_lsets(rows), "lsets")
+    rows = selection.lsets(inputs.attempts, inputs.prefixes, inputs.mfa_log, high)
+    out = materialize(selection.filtered_lsets(rows, rules), "lsets")
+    release(high)
+    return out
 
 
 def usernames_of(lsets: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -36,31 +39,64 @@ def usernames_of(lsets: DataFrame, attempts: DataFrame) -> DataFrame:
     return features.lset_usernames(mine).withColumn("id", F.concat_ws("|", "client_ip", "d"))
 
 
-def find_near_pairs(lsets: DataFrame, attempts: DataFrame, max_distance=pairs.MAX_DISTANCE):
-    return pairs.near_pairs(lsets, usernames_of(lsets, attempts), max_distance)
+def find_near_pairs(
+    lsets: DataFrame,
+    attempts: DataFrame,
+    max_distance=pairs.MAX_DISTANCE,
+    passwords: bool = True,
+    missing_matches: bool = True,
+):
+    return pairs.near_pairs(
+        lsets, usernames_of(lsets, attempts), max_distance, passwords, missing_matches=missing_matches
+    )
 
 
-def find_campaigns(
-    inputs: Inputs,
+def true_distances(lsets, usernames, passwords: bool = True, missing_matches: bool = True):
+    """What linkage calls for the pairs that are not listed."""
+    return lambda asked: pairs.distances_of(asked, lsets, usernames, passwords, missing_matches)
+
+
+def cluster(
+    lsets: DataFrame,
+    usernames: DataFrame,
     max_distance: float = pairs.MAX_DISTANCE,
     threshold: float | None = None,
     linkage: str = "average",
-):
-    """``(labelled feature rows, campaign statistics)``. Without a threshold the
-    knee of the merge heights is used, for either kind of linkage."""
-    lsets = suspicious_lsets(inputs)
-    near = materialize(find_near_pairs(lsets, inputs.attempts, max_distance), "near_pairs")
+    passwords: bool = True,
+    missing_matches: bool = True,
+) -> DataFrame:
+    """Feature rows with ``cluster_id``, also from stored rows and usernames. Without a
+    threshold the knee of the merge heights is used, for either kind of linkage; it is searched
+    among the heights up to ``max_distance``."""
+    names = materialize(usernames.select("id", "username"), "usernames")
+    near = materialize(
+        pairs.near_pairs(lsets, names, max_distance, passwords, missing_matches=missing_matches),
+        "near_pairs",
+    )
     if linkage == "average" or threshold is None:
-        history = clustering.average_linkage(near, max_distance, threshold)
+        distances = true_distances(lsets, names, passwords, missing_matches)
+        history = clustering.average_linkage(near, max_distance, distances, threshold)
     if threshold is None:
         knee = clustering.cut_threshold(history, lsets).first()
         threshold = knee["threshold"] if knee else max_distance
     if linkage == "average":
         members = clustering.members(history, lsets, threshold)
     else:
-        members = clustering.connected_campaigns(near, lsets, threshold)
-    labelled = lsets.join(members.withColumnRenamed("cluster", "cluster_id"), "id")
-    stats = campaigns.campaign_stats(
-        labelled, usernames_of(lsets, inputs.attempts), inputs.compromised
-    )
-    return labelled, stats
+        members = clustering.connected_campaigns(near, lsets, threshold, max_distance)
+    return lsets.join(members.withColumnRenamed("cluster", "cluster_id"), "id")
+
+
+def find_campaigns(
+    inputs: Inputs,
+    max_distance: float = pairs.MAX_DISTANCE,
+    threshold: float | None = None,
+    linkage: str = "average",
+    passwords: bool = True,
+    missing_matches: bool = True,
+    rules: selection.Rules | None = None,
+):
+    """``(labelled feature rows, campaign statistics)``."""
+    lsets = suspicious_lsets(inputs, rules)
+    names = materialize(usernames_of(lsets, inputs.attempts), "usernames")
+    labelled = cluster(lsets, names, max_distance, threshold, linkage, passwords, missing_matches)
+    return labelled, campaigns.campaign_stats(labelled, names, inputs.compromised)

@@ -110,12 +110,19 @@ def _labelled(spark, sf) -> DataFrame:
     return _lsets(spark, sf).join(_keep(spark, sf, "labels", make), "id")
 
 
+def _true_distances(spark, sf):
+    names = _keep(spark, sf, "names", lambda: source.materialize(_usernames(spark, sf), "names"))
+    return plan.true_distances(_lsets(spark, sf), names)
+
+
 def _linkage(spark, sf):
     return _keep(
         spark,
         sf,
         "linkage",
-        lambda: clustering.average_linkage(_near(spark, sf), pairs.MAX_DISTANCE),
+        lambda: clustering.average_linkage(
+            _near(spark, sf), pairs.MAX_DISTANCE, _true_distances(spark, sf)
+        ),
     )
 
 
@@ -195,7 +202,7 @@ def _write_results(spark, sf) -> DataFrame:
     stats = campaigns.campaign_stats(
         labelled, _usernames(spark, sf), derived.compromised_credentials(spark, sf)
     )
-    source.write_results(labelled, stats, path)
+    source.write_results(labelled, stats, path, _usernames(spark, sf))
     return present(
         spark.read.parquet(f"{path}/lsets").select("id", "cluster_id").join(
             spark.read.parquet(f"{path}/campaign_stats").select("cluster_id", "num_lsets"),
@@ -287,7 +294,13 @@ QUERIES: dict[str, Query] = {
     "attempt_filter": _log(
         lambda a: a.where(
             predicates.attempt_filter(
-                start=START, end=END, result=0, pwd_in_breach=1, username_in_breach=0, zxcvbn=0
+                start=START,
+                end=END,
+                floor=predicates.LOG_FLOOR,
+                result=0,
+                pwd_in_breach=1,
+                username_in_breach=0,
+                zxcvbn=0,
             )
         ).select("id", "username")
     ),
@@ -450,7 +463,9 @@ QUERIES: dict[str, Query] = {
     # clusters
     "average_linkage_clusters": lambda spark, sf: present(
         clustering.members(
-            clustering.average_linkage(_near(spark, sf), pairs.MAX_DISTANCE, LINK_THRESHOLD),
+            clustering.average_linkage(
+                _near(spark, sf), pairs.MAX_DISTANCE, _true_distances(spark, sf), LINK_THRESHOLD
+            ),
             _lsets(spark, sf),
         )
     ),
@@ -459,7 +474,9 @@ QUERIES: dict[str, Query] = {
         clustering.cut_threshold(_linkage(spark, sf), _lsets(spark, sf))
     ),
     "connected_campaigns": lambda spark, sf: present(
-        clustering.connected_campaigns(_near(spark, sf), _lsets(spark, sf), LINK_THRESHOLD)
+        clustering.connected_campaigns(
+            _near(spark, sf), _lsets(spark, sf), LINK_THRESHOLD, pairs.MAX_DISTANCE
+        )
     ),
     # campaigns
     "campaign_stats": _campaign(campaigns.campaign_stats),

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import posixpath
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlab.functions.predicates import LOG_FLOOR, attempt_filter
+from loginlab.functions.predicates import attempt_filter
 
 NAME_LISTS = ("usernames", "successful_usernames")
 COUNT_MAPS = ("os_json_cnt", "app_json_cnt", "browser_json_cnt")
 
 
-def scan_attempts(df: DataFrame, start=None, end=None, floor=LOG_FLOOR) -> DataFrame:
+def scan_attempts(df: DataFrame, start=None, end=None, floor=None) -> DataFrame:
     """Attempts of a date range; on a log partitioned by ``d`` this prunes files."""
     return df.where(attempt_filter(start=start, end=end, floor=floor))
 
 
-def read_attempts(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    return scan_attempts(spark.read.parquet(path), start, end)
+def read_attempts(spark: SparkSession, path: str, start=None, end=None, floor=None) -> DataFrame:
+    return scan_attempts(spark.read.parquet(path), start, end, floor)
 
 
 def read_attempts_jdbc(
@@ -67,8 +67,18 @@ def write_features(features: DataFrame, path: str, files_per_day: int = 8) -> No
     )
 
 
-def write_lsets(lsets: DataFrame, path: str) -> None:
+def write_lsets(lsets: DataFrame, path: str, usernames: DataFrame | None = None) -> None:
+    """Feature rows under ``path``; their usernames, one row each, under ``path-usernames``."""
     lsets.write.mode("overwrite").parquet(path)
+    if usernames is not None:
+        write_usernames(usernames, f"{path}-usernames")
+
+
+def write_usernames(usernames: DataFrame, path: str) -> None:
+    """``id, username, attempts, successes``: what clustering and campaign summaries need
+    beside the feature rows."""
+    columns = [c for c in ("id", "username", "attempts", "successes") if c in usernames.columns]
+    usernames.select(*columns).write.mode("overwrite").parquet(path)
 
 
 def write_lsets_csv(lsets: DataFrame, path: str) -> None:
@@ -98,7 +108,11 @@ def parse_lset_columns(text: DataFrame) -> DataFrame:
     return text.withColumns(typed)
 
 
-def write_results(lsets: DataFrame, stats: DataFrame, path: str) -> None:
+def write_results(
+    lsets: DataFrame, stats: DataFrame, path: str, usernames: DataFrame | None = None
+) -> None:
+    if usernames is not None:
+        write_usernames(usernames, f"{path}/usernames")
     lsets.write.mode("overwrite").parquet(f"{path}/lsets")
     stats.write.mode("overwrite").parquet(f"{path}/campaign_stats")
 
@@ -108,14 +122,10 @@ def compromised_users(credentials: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a fresh one on a local master."""
+    """The folder in ``spark.checkpoint.dir``; without that setting a folder in the warehouse."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="loginlab-")
+    return folder or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
@@ -128,3 +138,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

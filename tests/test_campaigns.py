@@ -152,13 +152,13 @@ def test_unknown_networks(frames):
     assert (got.x, got.y) == (pytest.approx(1 - math.exp(-1)), 1.0)
 
 
-def sequential_linkage(names, dist, limit, threshold):
+def sequential_linkage(names, dist, threshold):
     """Merges the closest two clusters until none is below the threshold."""
     clusters = {n: [n] for n in names}
     heights = []
     while len(clusters) > 1:
         def mean(x, y):
-            d = [min(dist.get((min(p, q), max(p, q)), limit), limit) for p in clusters[x] for q in clusters[y]]
+            d = [dist[min(p, q), max(p, q)] for p in clusters[x] for q in clusters[y]]
             return sum(d) / len(d)
 
         h, x, y = min((mean(x, y), x, y) for x, y in combinations(sorted(clusters), 2))
@@ -169,25 +169,66 @@ def sequential_linkage(names, dist, limit, threshold):
     return {m: x for x, ms in clusters.items() for m in ms}, heights
 
 
-@pytest.mark.parametrize("limit,threshold,seed", [(1.0, 1.0, 1), (1.0, 0.4, 2), (0.5, 0.35, 3)])
-def test_average_linkage(spark, limit, threshold, seed):
+def linkage_of(spark, dist, limit, threshold=None):
+    """Linkage that is told the distances under the limit and looks the others up."""
+    every = spark.createDataFrame([(*k, v) for k, v in dist.items()], "i string, j string, dist double")
+    return clustering.average_linkage(
+        every.where(F.col("dist") < limit), limit, lambda asked: asked.join(every, ["i", "j"]), threshold
+    )
+
+
+@pytest.mark.parametrize("limit,threshold,seed", [(1.0, 1.0, 1), (0.45, 0.4, 2), (0.35, 0.35, 3), (0.25, 0.2, 4)])
+def test_average_linkage_counts_true_distances(spark, limit, threshold, seed):
     r = random.Random(seed)
     names = [f"n{k:02d}" for k in range(24)]
     spots = {n: (r.random(), r.random()) for n in names}
-    dist = {(x, y): min(math.dist(spots[x], spots[y]) / 1.5, 0.99) for x, y in combinations(names, 2)}
-    near = {k: v for k, v in dist.items() if v < limit}
-    want, heights = sequential_linkage(names, near, limit, threshold)
-    df = spark.createDataFrame([(*k, v) for k, v in near.items()], "i string, j string, dist double")
+    # no metric: far pairs inside near groups
+    dist = {(x, y): min(math.dist(spots[x], spots[y]) / 1.5 + r.choice([0, 0, 0.3]), 0.99) for x, y in combinations(names, 2)}
+    want, heights = sequential_linkage(names, dist, threshold)
     ids = spark.createDataFrame([(n,) for n in names], "id string")
-    history = clustering.average_linkage(df, limit, threshold)
+    history = linkage_of(spark, dist, limit, threshold)
     got = {m.id: m.cluster for m in clustering.members(history, ids).collect()}
     assert got == want
     assert sorted(h.height for h in history.collect()) == pytest.approx(sorted(heights))
-    # the whole tree cut at the threshold gives the same clusters
-    tree = clustering.average_linkage(df, limit)
+    # the tree up to the limit, cut at the threshold, gives the same clusters
+    tree = linkage_of(spark, dist, limit)
     assert {m.id: m.cluster for m in clustering.members(tree, ids, threshold).collect()} == want
 
 
+def test_thresholds_above_the_limit_are_refused(spark):
+    with pytest.raises(ValueError):
+        linkage_of(spark, {("a", "b"): 0.1}, 0.3, 0.4)
+    near = spark.createDataFrame([("a", "b", 0.1)], "i string, j string, dist double")
+    with pytest.raises(ValueError):
+        clustering.connected_campaigns(near, near.selectExpr("i AS id"), 0.4, 0.3)
+
+
+def test_equal_distances_take_few_rounds(spark):
+    names = [f"n{k:03d}" for k in range(80)]
+    history = linkage_of(spark, {p: 0.25 for p in combinations(names, 2)}, 0.4).collect()
+    assert len(history) == 79 and len({h.round for h in history}) < 25
+
+
+@pytest.mark.parametrize("passwords,missing", [(False, True), (True, False)])
+def test_near_pairs_variants(frames, passwords, missing):
+    lsets = make_lsets(40, 5, close=True)
+    rows, names = frames(lsets)
+    ids = sorted(p["id"] for p in lsets)
+    all_pairs = rows.sparkSession.createDataFrame(list(combinations(ids, 2)), "i string, j string")
+    true = {(r.i, r.j): r.dist for r in pairs.distances_of(all_pairs, rows, names, passwords, missing).collect()}
+    found = pairs.near_pairs(rows, names, 0.3, passwords, 3, missing).collect()
+    assert {(r.i, r.j): pytest.approx(r.dist) for r in found} == {k: v for k, v in true.items() if v < 0.3}
+    assert found
+
+
+def test_true_distances(frames):
+    lsets = make_lsets(20, 6)
+    rows, names = frames(lsets)
+    want = {(p["id"], q["id"]): plain_distance(p, q) for p, q in combinations(sorted(lsets, key=lambda x: x["id"]), 2)}
+    asked = rows.sparkSession.createDataFrame(list(want), "i string, j string")
+    assert {(r.i, r.j): pytest.approx(r.dist) for r in pairs.distances_of(asked, rows, names).collect()} == want
+
+
 def test_connected_campaigns(spark):
     # a long chain, a star and a loner; the far link does not count
     links = [(f"c{k:02d}", f"c{k + 1:02d}", 0.1) for k in range(30)]
@@ -207,6 +248,9 @@ def test_knee_of_a_convex_curve(spark):
     knee = clustering.cut_threshold(history, ids).first()
     assert 0.3 < knee.threshold < 0.6
     assert knee.clusters == 45 - sum(h < knee.threshold - 1e-9 for h in heights)
+    # a curve that only bends at its end has no knee there
+    straight = spark.createDataFrame([(0, "a", f"b{k}", 0.01 * k, 2) for k in range(1, 40)], history.schema)
+    assert clustering.cut_threshold(straight, ids).count() == 0
     flat = history.where("height < 0.015")
     assert clustering.cut_threshold(flat, ids).count() == 0
 
