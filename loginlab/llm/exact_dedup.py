@@ -15,6 +15,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,23 @@ from pyspark.sql import functions as F
 from loginlab.llm.common import kept, shared_folder, table
 
 FILES_PER_BATCH = 256
-# fixed value: the name of Spark's own state store on disk
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# fixed values: Spark's own state store on disk, without space set aside in each of many small ones
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def _store(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def sha256(text: Column) -> Column:
@@ -43,14 +59,10 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha25
 def remember(prints: DataFrame, checkpoint: str) -> None:
     """Runs a stream of fingerprints through the state kept under ``checkpoint``, as far as
     there are files."""
-    spark = prints.sparkSession
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKSDB)
-    try:
-        state = prints.groupBy("digest").agg(
-            F.max(F.struct("id", "row", "locator")).alias("stays"), F.count("*").alias("n")
-        )
+    state = prints.groupBy("digest").agg(
+        F.max(F.struct("id", "row", "locator")).alias("stays"), F.count("*").alias("n")
+    )
+    with _store(prints.sparkSession):
         query = (
             state.writeStream.format("noop")
             .outputMode("update")
@@ -59,15 +71,14 @@ def remember(prints: DataFrame, checkpoint: str) -> None:
             .start()
         )
         query.awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
 
 
 def remembered(spark: SparkSession, checkpoint: str) -> DataFrame:
     """⟨digest, stays, n⟩ as the state holds them."""
-    rows = spark.read.format("statestore").load(checkpoint)
-    stays, n = rows.schema["value"].dataType.names
-    return rows.select("key.digest", F.col(f"value.{stays}").alias("stays"), F.col(f"value.{n}").alias("n"))
+    with _store(spark):
+        rows = spark.read.format("statestore").load(checkpoint)
+        stays, n = rows.schema["value"].dataType.names
+        return kept(rows.select("key.digest", F.col(f"value.{stays}").alias("stays"), F.col(f"value.{n}").alias("n")))
 
 
 def _texts(docs, id_col, text_col, digest) -> DataFrame:
