@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -33,13 +34,14 @@ HEADLINE = [
 ]
 
 
-def main():
+def main(work):
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", work)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -59,7 +61,9 @@ def main():
             {"metric": "total", "value": total, "unit": "sec", "queries": seconds, "sf": SF_DIR}
         )
     )
+    spark.stop()
 
 
 if __name__ == "__main__":
-    main()
+    with tempfile.TemporaryDirectory(prefix="bench-") as folder:
+        main(folder)

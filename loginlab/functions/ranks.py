@@ -1,16 +1,20 @@
 """Exact order statistics over a whole column without sorting it in one task.
 
-The column is reduced to one row per distinct value. The values are split into a
-fixed number of ranges of equal width; positions are counted inside each range
-and shifted by the (at most ``RANGES + 1``) range totals.
+The column is reduced to one row per distinct value. The values are split into ranges at
+approximate quantiles of the distinct values, so outliers do not crowd the others into one
+range; positions are counted inside each range and shifted by the (at most
+``RANGES + 1``) range totals. Where the boundaries fall does not change a result.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 65_536
+RANGES = 1024
 
 
 def ranked_values(df: DataFrame, value: Column) -> DataFrame:
@@ -22,10 +26,9 @@ def ranked_values(df: DataFrame, value: Column) -> DataFrame:
         .groupBy("value")
         .agg(F.count("*").alias("cnt"))
     )
-    extent = hist.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")))
-    low, high = (extent.select(F.col(extent.columns[0])[c]).scalar() for c in ("low", "high"))
-    place = F.try_divide(F.col("value") - low, high - low) * RANGES
-    ranged = hist.withColumn("rng", F.coalesce(F.floor(place), F.lit(0)).cast("int"))
+    shares = [k / RANGES for k in range(1, RANGES)]
+    bounds = hist.agg(F.percentile_approx("value", shares, 10 * RANGES)).first()[0]
+    ranged = _ranged(hist, bounds)
     before = Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("rng").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -56,6 +59,16 @@ def ranked_values(df: DataFrame, value: Column) -> DataFrame:
     )
 
 
+def _ranged(hist: DataFrame, quantiles) -> DataFrame:
+    """Adds the range that each value is in, found by bisection."""
+    bounds = sorted({q for q in quantiles or [] if math.isfinite(q)})
+    if not bounds:
+        return hist.withColumn("rng", F.lit(0))
+    splits = [-math.inf, *bounds, math.inf]
+    cut = Bucketizer(splits=splits, inputCol="value", outputCol="rng", handleInvalid="keep")
+    return cut.transform(hist).withColumn("rng", F.col("rng").cast("int"))
+
+
 def descending_element(df: DataFrame, value: Column, share: float, out: str) -> DataFrame:
     """One row: the element at offset ``int((n - 1) * share)`` in descending order."""
     r = ranked_values(df, value)

@@ -104,17 +104,26 @@ def interarrival_stats(attempts: DataFrame, by=IP_DAY) -> DataFrame:
 
 
 def _gap_stats(attempts: DataFrame, by) -> DataFrame:
-    # gaps are whole seconds, so the median's value table stays small
-    return (
-        gaps(attempts, by)
-        .groupBy(*by)
-        .agg(
-            F.median("gap").alias("gap_median"),
-            F.avg("gap").alias("gap_mean"),
-            F.max("gap").cast("double").alias("gap_max"),
-            F.min("gap").cast("double").alias("gap_min"),
-            F.stddev_pop("gap").alias("gap_std"),
-        )
+    # gaps are whole seconds: one row per value, and exact sums
+    gap, n = F.col("gap").cast("decimal(19,0)"), F.col("n")
+    values = gaps(attempts, by).groupBy(*by, "gap").agg(F.sum("n").alias("n"))
+    stats = values.groupBy(*by).agg(
+        F.percentile("gap", F.lit(0.5), F.col("n")).alias("gap_median"),
+        F.sum("n").cast("decimal(19,0)").alias("_n"),
+        F.sum(gap * n).cast("decimal(19,0)").alias("_s"),
+        F.sum(F.col("gap") * F.col("gap") * n).cast("decimal(19,0)").alias("_ss"),
+        F.max("gap").cast("double").alias("gap_max"),
+        F.min("gap").cast("double").alias("gap_min"),
+    )
+    spread = (F.col("_n") * F.col("_ss") - F.col("_s") * F.col("_s")).cast("double")
+    count = F.col("_n").cast("double")
+    return stats.select(
+        *by,
+        "gap_median",
+        (F.col("_s").cast("double") / count).alias("gap_mean"),
+        "gap_max",
+        "gap_min",
+        (F.sqrt(F.greatest(spread, F.lit(0.0))) / count).alias("gap_std"),
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loginlab.functions import tweaks
-from loginlab.functions.columns import epoch_seconds, is_new_password, prior
-from loginlab.functions.ordering import SLICE_SECONDS, previous_in_day
+from loginlab.functions.columns import is_new_password, prior
+from loginlab.functions.ordering import SLICE_SECONDS, previous_in_day, slots_and_totals
 
 DISTANCES = {
     "client_ip": "distance_from_submissions_by_ip",
@@ -69,40 +69,27 @@ def password_origins(
     days are expected, because distances refer to all attempts of the day.
     """
     other = "client_ip" if by == "username" else "username"
-    sec = epoch_seconds("timestamp")
     rows = attempts.select(
         by,
         other,
         "d",
         "timestamp",
         "id",
-        F.floor(sec / slice_seconds).alias("_slice"),
         F.array_position(prior(DISTANCES[by]), 0).alias("_first_zero"),
     ).withColumn("_new", F.coalesce(F.col("_first_zero") == 0, F.lit(False)).cast("int"))
-    inside = Window.partitionBy(by, "d", "_slice").orderBy("timestamp", "id")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.unboundedPreceding, -1
-    of_day = Window.partitionBy(by, "d").orderBy("_slice").rowsBetween(*earlier)
-    of_key = Window.partitionBy(by).orderBy("d", "_slice").rowsBetween(*earlier)
-    # one row per slice; connects the slices of a day and the days of a key
-    offsets = (
-        rows.groupBy(by, "d", "_slice")
-        .agg(F.count("*").alias("_n"), F.sum("_new").alias("_m"))
+    counted = slots_and_totals(rows, [by], "_new", slice_seconds)
+    # one row per day connects the days of a key
+    days = Window.partitionBy(by).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        rows.groupBy(by, "d")
+        .agg(F.sum("_new").alias("_m"))
         .select(
-            by,
-            "d",
-            "_slice",
-            F.coalesce(F.sum("_n").over(of_day), F.lit(0)).alias("_slots_before"),
-            F.coalesce(F.sum("_m").over(of_key), F.lit(0)).alias("_new_before"),
+            F.col(by).alias("_by"), F.col("d").alias("_d"), F.coalesce(F.sum("_m").over(days), F.lit(0)).alias("_new_before")
         )
     )
-    counted = rows.withColumn("_pos", F.row_number().over(inside)).withColumn(
-        "_news", F.sum("_new").over(upto)
-    )
     zero = F.col("_first_zero")
     return (
-        counted.join(offsets, [by, "d", "_slice"])
-        .withColumn("slot", F.col("_pos") + F.col("_slots_before"))
+        counted.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("d") == F.col("_d")))
         .select(
             by,
             other,
@@ -111,7 +98,7 @@ def password_origins(
             "id",
             "slot",
             F.when(zero.isNull(), 1).when(zero > 0, zero).otherwise(F.col("slot")).alias("origin"),
-            F.when(F.col("_new") == 1, F.col("_new_before") + F.col("_news") - 1).alias("number"),
+            F.when(F.col("_new") == 1, F.col("_new_before") + F.col("total") - 1).alias("number"),
         )
     )
 

@@ -218,16 +218,9 @@ def _find_campaigns(spark, sf) -> DataFrame:
 
 def _stream(spark, sf) -> DataFrame:
     folder = source.scratch_table(spark, "stream")
-    found = daily.alerts(daily.daily_counts(derived.attempts_stream(spark, sf)))
-    query = (
-        found.writeStream.format("parquet")
-        .option("path", f"{folder}/alerts")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    alerts = spark.read.schema(found.schema).parquet(f"{folder}/alerts")
+    counts = daily.daily_counts(derived.attempts_stream(spark, sf))
+    daily.store_counts(counts, f"{folder}/counts", f"{folder}/state").awaitTermination()
+    alerts = daily.alerts(daily.current_counts(spark.read.parquet(f"{folder}/counts")))
     return present(alerts.select("client_ip", "d", "NR", "FF"))
 
 

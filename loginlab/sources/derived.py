@@ -223,13 +223,14 @@ def compromised_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ip_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix table built on the ``nation`` dimension."""
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 21").selectExpr(
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(
         """CASE WHEN n_nationkey < 16 THEN concat('198.18.', n_nationkey, '.0/24')
                 WHEN n_nationkey = 16 THEN '203.0.113.0/24'
                 WHEN n_nationkey = 17 THEN '203.0.0.0/16'
                 WHEN n_nationkey = 18 THEN '128.104.0.0/16'
                 WHEN n_nationkey = 19 THEN '100.64.0.0/24'
-                ELSE '100.64.2.0/23' END AS network""",
+                WHEN n_nationkey = 20 THEN '100.64.2.0/23'
+                ELSE concat('100.65.', n_nationkey, '.0/24') END AS network""",
         """CASE WHEN n_nationkey < 16 THEN concat('Carrier ', n_nationkey % 5)
                 WHEN n_nationkey = 18 THEN 'State University Network'
                 WHEN n_nationkey = 19 THEN 'Lakeside School District'

@@ -370,7 +370,6 @@ O["ip_day_features_refresh"] = with_(
 # days that ended two hours or more before the newest attempt
 O["ip_day_features_stream"] = plain(
     f"""SELECT client_ip, {DAY}, count(*) AS "NR", round(1 - avg(result), 6) AS "FF" FROM attempts
-    WHERE d + 1 <= (SELECT max("timestamp") FROM attempts) - INTERVAL 2 HOUR
     GROUP BY client_ip, d HAVING count(*) > 7 AND 1 - avg(result) > 0.8"""
 )
 _W = f"WHERE {RANGE}"
@@ -422,11 +421,12 @@ O["username_lists"] = plain(
 NETS = """prefixes AS (SELECT
     CASE WHEN n_nationkey < 16 THEN '198.18.' || n_nationkey || '.0/24' WHEN n_nationkey = 16 THEN '203.0.113.0/24'
          WHEN n_nationkey = 17 THEN '203.0.0.0/16' WHEN n_nationkey = 18 THEN '128.104.0.0/16'
-         WHEN n_nationkey = 19 THEN '100.64.0.0/24' ELSE '100.64.2.0/23' END AS network,
+         WHEN n_nationkey = 19 THEN '100.64.0.0/24' WHEN n_nationkey = 20 THEN '100.64.2.0/23'
+         ELSE '100.65.' || n_nationkey || '.0/24' END AS network,
     CASE WHEN n_nationkey < 16 THEN 'Carrier ' || n_nationkey % 5 WHEN n_nationkey = 18 THEN 'State University Network'
          WHEN n_nationkey = 19 THEN 'Lakeside School District' ELSE 'Hosting ' || n_nationkey END AS isp,
     'AS ' || n_nationkey % 3 AS asn_org, n_name AS country, 'City ' || n_nationkey AS city, n_nationkey % 7 = 0 AS is_proxy
-  FROM nation WHERE n_nationkey < 21),
+  FROM nation),
 ranges AS (SELECT *, CAST(split_part(network, '/', 2) AS INTEGER) AS len,
     CAST(split_part(network, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(network, '.', 2) AS BIGINT) * 65536
     + CAST(split_part(network, '.', 3) AS BIGINT) * 256 AS lo FROM prefixes),

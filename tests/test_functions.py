@@ -82,7 +82,9 @@ def test_order_inside_hot_groups(log, random_attempts, slice_seconds):
     assert {r.id: r.slot for r in slots.collect()} == want_slot
     prev = previous_in_day(a, ["client_ip"], "gap", slice_seconds)
     assert {r.id: r.gap for r in prev.collect()} == want_gap
-    found = gaps(a, ["client_ip", "d"], slice_seconds).groupBy("client_ip", "d").agg(F.sort_array(F.collect_list("gap")).alias("g"))
+    found = gaps(a, ["client_ip", "d"], slice_seconds)
+    found = found.withColumn("gap", F.explode(F.array_repeat("gap", F.col("n").cast("int"))))
+    found = found.groupBy("client_ip", "d").agg(F.sort_array(F.collect_list("gap")).alias("g"))
     got = {(r.client_ip, (r.d - r.d.replace(day=1)).days): r.g for r in found.collect()}
     assert got == {k: sorted(b["at"] - x["at"] for x, b in zip(g, g[1:])) for k, g in groups.items() if len(g) > 1}
 
@@ -97,3 +99,22 @@ def test_order_statistics(spark, values):
         assert value == pytest.approx(np.percentile(values, pct))
     want = sorted(values, reverse=True)[int((len(values) - 1) * 0.01)]
     assert ranks.descending_element(df, F.col("v"), 0.01, "p").first().p == want
+
+
+def test_an_outlier_does_not_crowd_the_ranges(spark):
+    values = [float(k) for k in range(3000)] + [1e12, -1e12]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = ranks.ranked_values(df, F.col("v")).collect()
+    assert sorted((r.value, r.lo, r.hi) for r in rows) == [(v, k, k) for k, v in enumerate(sorted(values))]
+    hist = df.select(F.col("v").alias("value"))
+    bounds = hist.agg(F.percentile_approx("value", [k / ranks.RANGES for k in range(1, ranks.RANGES)], 10 * ranks.RANGES)).first()[0]
+    assert ranks._ranged(hist, bounds).groupBy("rng").count().agg(F.max("count")).first()[0] < 30
+
+
+def test_a_log_before_any_floor_is_read(spark, log, tmp_path):
+    from loginlab.sources import attempts as source
+
+    a = log([{"at": 0}, {"at": 9}]).withColumn("timestamp", F.expr("TIMESTAMP_NTZ'2019-05-01 00:00:00'"))
+    a.withColumn("d", F.to_date("timestamp")).write.parquet(str(tmp_path / "old"))
+    assert source.read_attempts(spark, str(tmp_path / "old")).count() == 2
+    assert source.read_attempts(spark, str(tmp_path / "old"), floor=predicates.LOG_FLOOR).count() == 0

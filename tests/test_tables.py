@@ -62,15 +62,46 @@ def test_refresh_matches_the_batch(spark, log, tmp_path):
     assert got == sorted(map(tuple, features.ip_day_features(a).select(cols).collect()))
 
 
-def test_alerts_on_finished_days(spark, log, tmp_path):
-    # in one batch, so nothing arrives late
-    _, stream = _stream(spark, log, tmp_path, 100)
-    counts = daily.daily_counts(stream)
-    query = (
-        daily.alerts(counts).writeStream.format("parquet").option("path", str(tmp_path / "alerts"))
-        .option("checkpointLocation", str(tmp_path / "alert_state")).trigger(availableNow=True).start()
+def test_alerts_whatever_the_order_of_the_files(spark, log, tmp_path):
+    # a file per batch; some batches bring days that others have passed long ago
+    a, stream = _stream(spark, log, tmp_path, 1)
+    counts, state = str(tmp_path / "counts"), str(tmp_path / "state")
+    daily.store_counts(daily.daily_counts(stream), counts, state).awaitTermination()
+    stored = spark.read.parquet(counts)
+    assert stored.select("batch").distinct().count() >= 3
+    got = daily.alerts(daily.current_counts(stored)).collect()
+    want = a.groupBy("client_ip", "d").count().collect()
+    assert {(r.client_ip, r.d, r.NR, r.FF) for r in got} == {(r.client_ip, r.d, r["count"], 1.0) for r in want}
+
+
+def test_results_can_be_clustered_again(spark, tmp_path):
+    from loginlab.operators import pairs
+    from loginlab.plans import campaigns as plan
+    from tests.test_campaigns import FIELDS, LSET, make_lsets
+
+    lsets = make_lsets(25, 8, close=True)
+    rows = spark.createDataFrame([tuple(p[c] for c in FIELDS) for p in lsets], LSET)
+    names = spark.createDataFrame(
+        [(p["id"], u, 2, 0) for p in lsets for u in p["names"]], "id string, username string, attempts int, successes int"
+    )
+    source.write_results(rows, rows.select("id"), str(tmp_path / "out"), names)
+    source.write_lsets(rows, str(tmp_path / "lsets"), names)
+    want = {r.id: r.cluster_id for r in plan.cluster(rows, names, 0.3, 0.25).collect()}
+    for lsets_at, names_at in (("out/lsets", "out/usernames"), ("lsets", "lsets-usernames")):
+        stored = spark.read.parquet(str(tmp_path / lsets_at)), spark.read.parquet(str(tmp_path / names_at))
+        assert {r.id: r.cluster_id for r in plan.cluster(*stored, 0.3, 0.25).collect()} == want
+    assert pairs.MAX_DISTANCE > 0.3 and len(set(want.values())) < len(want)
+
+
+def test_rules_of_another_institution(spark):
+    from loginlab.operators import selection
+
+    rows = spark.createDataFrame(
+        [("10.1.2.3", "Acme", 9, 0.9, 1.0, 9, '{"success":0}'), ("128.104.0.1", "x", 9, 0.9, 1.0, 9, '{"success":0}'), ("9.9.9.9", "Acme Corp", 3, 0.6, 1.0, 3, '{"success":0}')],
+        "client_ip string, ISP string, NR long, FF double, AUPPU double, NU long, duo_responses string",
     )
-    query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "alerts")).collect()
-    assert {(r.client_ip, r.NR, r.FF) for r in got} == {("hot", 10, 1.0)}
-    assert {str(r.d) for r in got} <= {"2024-01-01", "2024-01-02"}
+    rules = selection.Rules(min_attempts=2, min_failures=0.5, networks=["10.0.0.0/8"], isp_patterns=["corp$"])
+    assert [r.client_ip for r in selection.filtered_lsets(rows, rules).collect()] == ["128.104.0.1"]
+    report = selection.filter_report(rows, rules).first()
+    assert (report.selected, report.after_networks, report.after_isp) == (3, 2, 1)
+    assert [r.client_ip for r in selection.filtered_lsets(rows).collect()] == ["10.1.2.3"]
