@@ -33,7 +33,7 @@ from loginlab.llm.common import SEGMENT, TOKENIZER_FOLDER, per_process, table
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = 32768  # characters
 OVERLAP = 512
-MOST_SEGMENTS = 400_000  # encoded segments kept by one process
+MOST_SEGMENTS = 200_000  # encoded segments kept by one process
 
 
 class Segments(dict):
@@ -53,17 +53,25 @@ class Segments(dict):
 class Codec:
     def __init__(self, path: str, pattern: str):
         import regex
-        import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.pattern = path, pattern
         self.split = regex.compile(pattern)
-        self.segments = Segments(self.library.encode_ordinary)
+        self.segments = Segments(self._encode_segment)
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, n in ranks.items():
             self.token[n] = token
         self.decimal = [str(n) for n in range(len(self.token))]
+        self.library = None  # made when something is encoded: decoding needs the tokens alone
+
+    def _encode_segment(self, segment: str) -> list[int]:
+        if self.library is None:
+            import tiktoken
+
+            ranks = {token: n for n, token in enumerate(self.token) if token}
+            self.library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return self.library.encode_ordinary(segment)
 
     def encode(self, text: str) -> bytes:
         return b"".join([self.segments[x][0] for x in SEGMENT.findall(text)])
