@@ -66,3 +66,53 @@ def ipv4_number(ip) -> Column:
         octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o.try_cast("long")
     )
     return F.when(c.rlike(_IPV4), value)
+
+
+_GROUP = "^[0-9a-f]{1,4}$"
+
+
+def _ipv6_groups(ip: Column) -> Column:
+    """The eight groups of an IPv6 address as text, NULL when it is none."""
+    last = F.substring_index(ip, ":", -1)
+    number = ipv4_number(last)
+    as_groups = F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number % 65536))
+    # an IPv4 address may stand for the last two groups
+    front = F.substring(ip, F.lit(1), F.length(ip) - F.length(last))
+    text = F.lower(F.when(F.instr(last, ".") > 0, F.concat(front, as_groups)).otherwise(ip))
+    halves = F.split(text, "::")
+    groups = lambda h: F.when(F.length(h) > 0, F.split(h, ":")).otherwise(F.array().cast("array<string>"))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    n = F.size(left) + F.size(right)
+    filled = F.concat(left, F.array_repeat(F.lit("0"), 8 - n), right)
+    out = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (n < 8), filled)
+    valid = (F.size(out) == 8) & F.forall(out, lambda g: g.rlike(_GROUP))
+    return F.when((F.instr(ip, ":") > 0) & valid, out)
+
+
+def address(ip) -> Column:
+    """An IPv4 or IPv6 address as ⟨family, hi, lo⟩: its bits from the left in two longs, so a
+    prefix length means the same for both. NULL when the text is no address."""
+    c = F.col(ip) if isinstance(ip, str) else ip
+    four = ipv4_number(c)
+    hex_ = F.array_join(F.transform(_ipv6_groups(c), lambda g: F.lpad(g, 4, "0")), "")
+    half = lambda start: F.conv(F.substring(hex_, start, 16), 16, -10).cast("long")
+    fields = lambda family, hi, lo: F.struct(
+        F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo")
+    )
+    zero = F.lit(0).cast("long")
+    return F.when(four.isNotNull(), fields(4, F.shiftleft(four, 32), zero)).when(
+        hex_.isNotNull(), fields(6, half(1), half(17))
+    )
+
+
+def network_of(bits: Column, length) -> Column:
+    """An address with only the bits of a prefix of the given length."""
+    n = F.lit(length) if isinstance(length, int) else length
+    hi = F.when(n >= 64, bits["hi"]).when(n <= 0, F.lit(0)).otherwise(_top_bits(bits["hi"], n))
+    lo = F.when(n >= 128, bits["lo"]).when(n <= 64, F.lit(0)).otherwise(_top_bits(bits["lo"], n - 64))
+    return F.struct(bits["family"].alias("family"), hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))
+
+
+def _top_bits(value: Column, n: Column) -> Column:
+    drop = (F.lit(64) - n).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)

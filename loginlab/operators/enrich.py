@@ -5,54 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loginlab.functions.columns import epoch_seconds, ipv4_number
+from loginlab.functions.columns import address, epoch_seconds, network_of
 
 NETWORK_COLUMNS = ["network", "isp", "asn_org", "country", "city"]
 NOT_FOUND = "NA"
 
 
-# at most 2**17 - 1 prefixes are this short; a longer one covers at most 2**15 addresses
+# there are at most 2**17 - 1 prefixes of either family that are this short
 SHORT_PREFIX = 16
 
 
-def _masked(number: Column, length: Column) -> Column:
-    """The network part of an address for a prefix length."""
-    block = F.pow(F.lit(2.0), F.lit(32) - length).cast("long")
-    return number - number % block
-
-
 def ip_networks(ips: DataFrame, prefixes: DataFrame, ip: str = "client_ip") -> DataFrame:
-    """Longest matching prefix for every distinct IP, ``NA`` when there is none.
+    """Longest matching prefix for every distinct IPv4 or IPv6 address, ``NA`` when there is none.
 
-    An address is masked to every prefix length, which turns the range lookup
-    into an equi-join on ⟨length, masked address⟩. Short prefixes would gather
-    many addresses under one key, but there are few of them, so they are broadcast;
-    the shuffled join only sees keys with a bounded number of addresses.
+    An address is masked to every prefix length that occurs, which turns the range lookup
+    into an equi-join on the masked address. Short prefixes would gather
+    many addresses under one key, but there are few of them, so they are broadcast.
     """
     distinct = ips.select(ip).distinct()
     proxy = F.col("is_proxy") if "is_proxy" in prefixes.columns else F.lit(False)
     length = F.substring_index("network", "/", -1).cast("int")
     table = (
         prefixes.withColumn("len", length)
-        .withColumn("net", _masked(ipv4_number(F.substring_index("network", "/", 1)), F.col("len")))
+        .withColumn("bits", address(F.substring_index("network", "/", 1)))
+        .where("bits IS NOT NULL AND len IS NOT NULL")
+        .withColumn("net", network_of(F.col("bits"), F.col("len")))
         .select("len", "net", *NETWORK_COLUMNS, proxy.alias("is_proxy"))
-        .where("net IS NOT NULL")
         .dropDuplicates(["len", "net"])
     )
-    numbers = distinct.withColumn("number", ipv4_number(ip)).where("number IS NOT NULL")
-
-    def probes(first, last):
-        lengths = F.explode(F.sequence(F.lit(first), F.lit(last)))
-        return numbers.withColumn("len", lengths).select(
-            ip, "len", _masked(F.col("number"), F.col("len")).alias("net")
-        )
-
-    few = F.broadcast(table.where(F.col("len") <= SHORT_PREFIX))
-    many = table.where(F.col("len") > SHORT_PREFIX)
+    # at most 33 + 129 rows
+    lengths = table.select(F.col("net.family").alias("family"), "len").distinct()
+    numbers = distinct.withColumn("bits", address(ip)).where("bits IS NOT NULL")
+    probes = numbers.join(F.broadcast(lengths), F.col("bits.family") == F.col("family")).select(
+        ip, "len", network_of(F.col("bits"), F.col("len")).alias("net")
+    )
+    is_short = F.col("len") <= SHORT_PREFIX
     hits = (
-        probes(0, SHORT_PREFIX)
-        .join(few, ["len", "net"])
-        .unionByName(probes(SHORT_PREFIX + 1, 32).join(many, ["len", "net"]))
+        probes.where(is_short)
+        .join(F.broadcast(table.where(is_short)), ["len", "net"])
+        .unionByName(probes.where(~is_short).join(table.where(~is_short), ["len", "net"]))
     )
     best = hits.groupBy(ip).agg(
         F.max_by(F.struct(*NETWORK_COLUMNS, "is_proxy"), "len").alias("hit")

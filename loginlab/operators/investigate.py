@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loginlab.functions.columns import is_new_password, prior, share
 from loginlab.functions.ordering import slot_in_day
 from loginlab.operators import detectors, features, statistics
+from loginlab.operators.enrich import NETWORK_COLUMNS, ip_networks
 from loginlab.operators.flags import password_labels, password_origins
 from loginlab.sources.attempts import materialize
 
@@ -272,9 +273,10 @@ def short_case_study(attempts: DataFrame, ip: str) -> DataFrame:
     return figures.join(gap, "client_ip").withColumn("num_connecting_ips", near.scalar())
 
 
-def case_study(attempts: DataFrame, ip: str) -> DataFrame:
+def case_study(attempts: DataFrame, ip: str, prefixes: DataFrame | None = None) -> DataFrame:
     """The figures of a full case study as ``figure, detail, value`` rows: single
-    numbers, connecting IPs, usernames and the passwords of each day."""
+    numbers, the network (with a prefix table), connecting IPs and their number, usernames and
+    the passwords of each day."""
     one = attempts.where(F.col("client_ip") == ip)
     names = [
         "num_attempts", "num_successes", "num_successes_in_breach", "num_unique_usernames",
@@ -312,6 +314,12 @@ def case_study(attempts: DataFrame, ip: str) -> DataFrame:
         )
 
     day_user = F.concat_ws(" ", F.col("d"), F.col("username"))
+    near = connecting_ips(attempts, ip).agg(F.count("*").alias("n"))
+    single = single.unionByName(rows(near, "num_connecting_ips", F.lit(""), F.col("n")))
+    if prefixes is not None:
+        network = ip_networks(one, prefixes)
+        for c in NETWORK_COLUMNS:
+            single = single.unionByName(rows(network, c, F.lit(""), F.col(c)))
     return (
         single.unionByName(
             rows(connecting_ips(attempts, ip), "connecting_ip", F.col("client_ip"), F.col("attempts"))

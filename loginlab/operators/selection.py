@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loginlab.functions.columns import any_of, ipv4_number
+from loginlab.functions.columns import address, any_of, network_of
 from loginlab.functions.ranks import percentiles
 from loginlab.operators import enrich, features
 
@@ -108,20 +109,21 @@ def no_mfa_success() -> Column:
 
 
 def in_networks(ip="client_ip", networks=INSTITUTION_NETWORKS) -> Column:
-    """Membership in one of a few CIDR blocks, as a plain range predicate."""
-    number = ipv4_number(ip)
-
-    def bounds(cidr):
-        base, size = cidr.split("/")
-        value = 0
-        for octet in base.split("."):
-            value = value * 256 + int(octet)
-        return value, value + 2 ** (32 - int(size)) - 1
-
-    inside = F.exists(
-        F.array(number), lambda n: any_of([n.between(*bounds(c)) for c in networks])
-    )
-    return F.coalesce(inside, F.lit(False))
+    """Membership in one of a few CIDR blocks of either family."""
+
+    def inside(bits):
+        tests = []
+        for cidr in networks:
+            net = ipaddress.ip_network(cidr)
+            value = int(net.network_address) << (96 if net.version == 4 else 0)
+            signed = [(v ^ 2**63) - 2**63 for v in (value >> 64, value & (2**64 - 1))]
+            masked = network_of(bits, net.prefixlen)
+            tests.append(
+                (masked["family"] == net.version) & (masked["hi"] == signed[0]) & (masked["lo"] == signed[1])
+            )
+        return any_of(tests)
+
+    return F.coalesce(F.exists(F.array(address(ip)), inside), F.lit(False))
 
 
 def institution_isp(isp="ISP", patterns=INSTITUTION_PATTERNS) -> Column:

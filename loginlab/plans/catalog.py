@@ -616,7 +616,11 @@ QUERIES: dict[str, Query] = {
         lambda a: detectors.pair_in_breach_in_window(a, START, END, AGENT)
     ),
     "short_case_study": _log(lambda a: investigate.short_case_study(a, HOT_IP)),
-    "case_study": _log(lambda a: investigate.case_study(a, HOT_IP)),
+    "case_study": lambda spark, sf: present(
+        investigate.case_study(
+            derived.attempts_table(spark, sf), HOT_IP, derived.ip_prefixes(spark, sf)
+        )
+    ),
     "investigate_username": _log(lambda a: investigate.investigate_username(a, USER)),
     # streaming
     "ip_day_features_stream": _stream,

@@ -118,3 +118,36 @@ def test_a_log_before_any_floor_is_read(spark, log, tmp_path):
     a.withColumn("d", F.to_date("timestamp")).write.parquet(str(tmp_path / "old"))
     assert source.read_attempts(spark, str(tmp_path / "old")).count() == 2
     assert source.read_attempts(spark, str(tmp_path / "old"), floor=predicates.LOG_FLOOR).count() == 0
+
+
+def test_addresses_of_both_families(spark):
+    import ipaddress
+
+    from loginlab.functions.columns import address, network_of
+
+    good = ["1.2.3.4", "255.255.255.255", "::", "::1", "2001:db8::ff00:42:8329", "fe80:0:0:0:1:2:3:4", "FFFF:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "::ffff:1.2.3.4", "1::"]
+    bad = ["", "1.2.3", "1:2", ":::", "1::2::3", "g::1", "12345::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8:9", None, "::1.2.3"]
+    df = spark.createDataFrame([(x, n) for x in good + bad for n in (0, 1, 31, 32, 33, 63, 64, 65, 127, 128)], "ip string, n int")
+    bits = address("ip")
+    for r in df.select("ip", "n", bits.alias("b"), network_of(bits, F.col("n")).alias("net")).collect():
+        if r.ip in bad:
+            assert r.b is None
+            continue
+        x = ipaddress.ip_address(r.ip)
+        value = int(x) << (96 if x.version == 4 else 0)
+        joined = lambda b: (b.hi % 2**64 << 64) + b.lo % 2**64
+        assert (r.b.family, joined(r.b)) == (x.version, value)
+        assert joined(r.net) == value >> (128 - r.n) << (128 - r.n)
+
+
+def test_networks_of_both_families(spark):
+    from loginlab.operators import enrich, selection
+
+    ips = ["10.1.2.3", "10.9.9.9", "2001:db8:1::5", "2001:db8:2::5", "fe80::1", "no address", None]
+    rows = spark.createDataFrame([(x,) for x in ips], "client_ip string")
+    nets = [("10.0.0.0/8", "a"), ("10.1.0.0/17", "b"), ("2001:db8::/32", "c"), ("2001:db8:1::/48", "d"), ("::/0", "e"), ("bad/8", "f")]
+    prefixes = spark.createDataFrame([(n, i, "o", "x", "y") for n, i in nets], "network string, isp string, asn_org string, country string, city string")
+    got = {r.client_ip: r.isp for r in enrich.ip_networks(rows, prefixes).collect()}
+    assert got == dict(zip(ips, ["b", "a", "d", "c", "e", "NA", "NA"]))
+    inside = rows.where(selection.in_networks(networks=["10.1.0.0/16", "2001:db8:2::/47"])).collect()
+    assert [r.client_ip for r in inside] == ["10.1.2.3", "2001:db8:2::5"]
