@@ -102,7 +102,7 @@ def frequencies(docs: DataFrame, words: list[str], text_col="text") -> DataFrame
     """⟨word, n⟩: in how many documents each of some words occurs."""
     found = F.array_intersect(_wide(spaced(F.col(text_col))), _words(words))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    known = docs.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    known = docs.sparkSession.createDataFrame([(w,) for w in words], "word string")  # may be empty
     return known.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -113,9 +113,7 @@ def blocks_with(docs: DataFrame, templates, threshold=THRESHOLD, id_cols=("doc_i
     vocabulary = [r[0] for r in known.select(F.explode("words")).distinct().limit(MOST_WORDS + 1).collect()]
     if len(vocabulary) > MOST_WORDS:
         raise ValueError("too many template words for one plan: scan in several runs")
-    order = frequencies(docs, vocabulary, text_col) if vocabulary else None
-    if order is None:
-        known, order = known.where("false"), spark.createDataFrame([], "word string, n long")
+    order = frequencies(docs, vocabulary, text_col)
     need = F.greatest(F.lit(1), F.ceil(F.size("words") * threshold - 1e-9)).cast("int")
     ordered = (
         known.select("template", "label", F.explode("words").alias("word"))

@@ -392,11 +392,9 @@ def one_of_each(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc
     """The rows of ``docs`` without all but one document of each class: the one with the smallest id stays,
     and of several rows with that id the one with the smallest text."""
     found = kept(links(docs, threshold, recall, id_col, text_col))
-    stays = found.where(F.col(id_col).eqNullSafe(F.col("class_id")))
     several = found.groupBy(F.col(id_col).alias("_id")).agg(
         F.count("*").alias("_rows"), F.max(F.col(id_col).eqNullSafe(F.col("class_id"))).alias("_stays")
     )
-    del stays
     kept_rows = docs.join(several.where("_stays"), docs[id_col].eqNullSafe(F.col("_id")))
     alone = kept_rows.where("_rows = 1").select(docs.columns)
     # several rows with one id: told apart by their shingles
