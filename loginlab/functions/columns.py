@@ -71,38 +71,62 @@ def ipv4_number(ip) -> Column:
 _GROUP = "^[0-9a-f]{1,4}$"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value written once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _ipv6_groups(ip: Column) -> Column:
     """The eight groups of an IPv6 address as text, NULL when it is none."""
-    last = F.substring_index(ip, ":", -1)
-    number = ipv4_number(last)
-    as_groups = F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number % 65536))
-    # an IPv4 address may stand for the last two groups
-    front = F.substring(ip, F.lit(1), F.length(ip) - F.length(last))
-    text = F.lower(F.when(F.instr(last, ".") > 0, F.concat(front, as_groups)).otherwise(ip))
-    halves = F.split(text, "::")
-    groups = lambda h: F.when(F.length(h) > 0, F.split(h, ":")).otherwise(F.array().cast("array<string>"))
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    n = F.size(left) + F.size(right)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), 8 - n), right)
-    out = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (n < 8), filled)
-    valid = (F.size(out) == 8) & F.forall(out, lambda g: g.rlike(_GROUP))
-    return F.when((F.instr(ip, ":") > 0) & valid, out)
+
+    def spelled(last):
+        # an IPv4 address may stand for the last two groups
+        front = F.substring(ip, F.lit(1), F.length(ip) - F.length(last))
+        two = _let(
+            ipv4_number(last),
+            lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n % 65536)),
+        )
+        return F.lower(F.when(F.instr(last, ".") > 0, F.concat(front, two)).otherwise(ip))
+
+    def groups(half):
+        return F.when(F.length(half) > 0, F.split(half, ":")).otherwise(F.array().cast("array<string>"))
+
+    def filled(sides, halves):
+        zeros = 8 - F.size(sides["l"]) - F.size(sides["r"])
+        whole = F.concat(sides["l"], F.array_repeat(F.lit("0"), zeros), sides["r"])
+        return F.when(F.size(halves) == 1, sides["l"]).when((F.size(halves) == 2) & (zeros > 0), whole)
+
+    def joined(halves):
+        sides = F.struct(
+            groups(F.get(halves, F.lit(0))).alias("l"), groups(F.get(halves, F.lit(1))).alias("r")
+        )
+        return _let(sides, lambda s: filled(s, halves))
+
+    out = _let(F.split(_let(F.substring_index(ip, ":", -1), spelled), "::"), joined)
+    valid = lambda g: (F.size(g) == 8) & F.forall(g, lambda x: x.rlike(_GROUP))
+    return F.when(F.instr(ip, ":") > 0, _let(out, lambda g: F.when(valid(g), g)))
 
 
 def address(ip) -> Column:
     """An IPv4 or IPv6 address as ⟨family, hi, lo⟩: its bits from the left in two longs, so a
     prefix length means the same for both. NULL when the text is no address."""
     c = F.col(ip) if isinstance(ip, str) else ip
-    four = ipv4_number(c)
-    hex_ = F.array_join(F.transform(_ipv6_groups(c), lambda g: F.lpad(g, 4, "0")), "")
-    half = lambda start: F.conv(F.substring(hex_, start, 16), 16, -10).cast("long")
-    fields = lambda family, hi, lo: F.struct(
-        F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo")
-    )
-    zero = F.lit(0).cast("long")
-    return F.when(four.isNotNull(), fields(4, F.shiftleft(four, 32), zero)).when(
-        hex_.isNotNull(), fields(6, half(1), half(17))
-    )
+
+    def fields(family, hi, lo):
+        return F.struct(F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo"))
+
+    def four(number):
+        return F.when(number.isNotNull(), fields(4, F.shiftleft(number, 32), F.lit(0).cast("long")))
+
+    def six(digits):
+        half = lambda start: F.conv(F.substring(digits, start, 16), 16, -10).cast("long")
+        return F.when(digits.isNotNull(), fields(6, half(1), half(17)))
+
+    def either(text):
+        digits = F.array_join(F.transform(_ipv6_groups(text), lambda g: F.lpad(g, 4, "0")), "")
+        return F.coalesce(_let(ipv4_number(text), four), _let(digits, six))
+
+    return _let(c, either)
 
 
 def network_of(bits: Column, length) -> Column:

@@ -462,7 +462,7 @@ QUERIES: dict[str, Query] = {
             _lsets(spark, sf),
         )
     ),
-    "merge_history": lambda spark, sf: present(_linkage(spark, sf)),
+    "merge_history": lambda spark, sf: present(_linkage(spark, sf).drop("round")),
     "cut_threshold": lambda spark, sf: present(
         clustering.cut_threshold(_linkage(spark, sf), _lsets(spark, sf))
     ),

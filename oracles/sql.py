@@ -616,6 +616,44 @@ O["minmax_by_column"] = with_(
     "SELECT i, j, round(dist / top, 6) AS scaled FROM both_ways JOIN tops USING (j)",
 )
 
+
+
+def linkage(threshold: float) -> str:
+    """Average linkage on the distances of all pairs, one merge of the closest two clusters a step."""
+    return (
+        PAIRS.replace("ev AS (", "RECURSIVE ev AS (", 1).lstrip()
+        + f""",
+every_pair AS MATERIALIZED (SELECT i, j, 0.25 * dist_ip + 0.25 * dist_date + (0.5 / 9) * (dist_interarrival + dist_breach
+    + dist_user_agent + dist_result + dist_usernames + dist_zxcvbn + dist_volume) AS dist FROM parts),
+state AS (
+  SELECT 0 AS step, i AS a, j AS b, dist AS total, CAST(1 AS DOUBLE) AS n FROM every_pair
+  UNION ALL
+  SELECT step + 1, least(x, y), greatest(x, y), sum(total), sum(n) FROM (
+    SELECT step, CASE WHEN a = mb THEN ma ELSE a END AS x, CASE WHEN b = mb THEN ma ELSE b END AS y, total, n
+    FROM (SELECT *, first_value(a) OVER w AS ma, first_value(b) OVER w AS mb, min(total / n) OVER () AS h
+          FROM state WINDOW w AS (ORDER BY total / n, a, b))
+    WHERE h < {threshold} AND NOT (a = ma AND b = mb))
+  GROUP BY step, least(x, y), greatest(x, y)),
+merges AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT ON (step) step, a, b, total / n AS height FROM state ORDER BY step, total / n, a, b)
+  WHERE height < {threshold}),
+assigned AS (
+  SELECT 0 AS step, id, id AS cluster FROM kept
+  UNION ALL
+  SELECT assigned.step + 1, id, CASE WHEN cluster = merges.b THEN merges.a ELSE cluster END
+  FROM assigned JOIN merges ON merges.step = assigned.step)"""
+    )
+
+
+O["average_linkage_clusters"] = with_(
+    linkage(0.3),
+    "SELECT id, cluster FROM assigned WHERE step = (SELECT max(step) FROM assigned)",
+)
+O["merge_history"] = with_(
+    linkage(0.4),
+    """SELECT m.a, m.b, round(m.height, 6) AS height, count(*) AS size
+FROM merges m JOIN assigned s ON s.step = m.step AND s.cluster IN (m.a, m.b) GROUP BY m.a, m.b, m.height""",
+)
+
 # ---- campaigns -----------------------------------------------------------------------------
 LINKED = (
     PAIRS.replace("ev AS (", "RECURSIVE ev AS (", 1).lstrip()
