@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loginlab.llm.common import per_process, table
 
-PER_LANGUAGE = 300
+PER_LANGUAGE = 200
 MOST_BYTES = 8192
 MOST_LANGUAGES = 64
 BUCKETS = 2**16  # hashed features of each kind
@@ -39,7 +39,7 @@ LEXICON = 5000  # words of a language
 ROUNDS = 30
 SWITCHES = 0.01  # share of words after which the language is assumed to change
 SEGMENT = 128  # words
-LEAST_SCORE = 0.4  # below this a text has no main language
+LEAST_SCORE = 0.3  # below this a text has no main language; short clean texts can be near 0.4
 CHARACTERS = 1_000_000  # of a batch that is worked on at once
 
 U64 = np.uint64
@@ -90,7 +90,7 @@ def words_of(texts: list[str]) -> Words:
     ends = at[code[at + 1] == 0]
     begins = np.searchsorted(at, starts)
     before, here, after = code[at - 1], code[at], code[at + 1]
-    bucket = lambda h: (h >> U64(64 - 16)).astype(np.int64)
+    bucket = lambda h: (h >> U64(64 - 16)).astype(np.int32)
     position = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
     whole = np.add.reduceat(_hash(here, position), begins) if len(begins) else np.zeros(0, U64)
     second = code[ends - 1]
@@ -225,7 +225,7 @@ def fit(texts: list[str], labels: list[str], rounds=ROUNDS) -> Model:
     )
     if k == 1 or not len(gold):
         return model
-    word = np.repeat(np.arange(len(words.begins)), np.diff(np.append(words.begins, len(words.pairs))))
+    word = np.repeat(np.arange(len(words.begins), dtype=np.int32), np.diff(np.append(words.begins, len(words.pairs))))
     begin, length, _, _ = _segments(words.counts, SEGMENT)
     kept_ = np.eye(k) * (1 - SWITCHES) + (1 - np.eye(k)) * SWITCHES / (k - 1)
     pairs_of = np.bincount(gold[begin], weights=length - 1, minlength=k)[:, None] * kept_
