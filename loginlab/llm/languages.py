@@ -8,8 +8,9 @@ into segments, whose transfer matrices are multiplied first, so that all segment
 run side by side and still see everything before and after them. The language of a text is the one with the
 largest share of its words; the score is that share.
 
-Training learns from at most ``PER_LANGUAGE`` texts of each of at most ``MOST_LANGUAGES`` languages, of
-at most ``MOST_BYTES`` bytes each, drawn by a hash of the text; that bounds what the driver holds.
+Training learns from at most ``PER_LANGUAGE`` texts of each of at most ``MOST_LANGUAGES`` languages, drawn by
+a hash of the text, those of at most ``MOST_BYTES`` bytes first; of a longer one, taken where a language has too
+few, so many characters count. That bounds what the driver holds.
 
 A null text, or one without a letter, is ``und`` with score 0. Ties go to the language that comes
 first in the alphabet. A null id is never held out and is not learned from; null languages are not learned
@@ -207,6 +208,8 @@ def marginals(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray, s
 def fit(texts: list[str], labels: list[str], rounds=ROUNDS) -> Model:
     languages = sorted(set(labels))
     k = len(languages)
+    if not k:
+        return Model([], np.zeros((4, BUCKETS, 0), np.float32), np.zeros(0, U64), np.zeros((0, 0)), np.zeros((0, 0)))
     words = words_of(texts)
     gold = np.array([languages.index(x) for x in labels])[np.repeat(np.arange(len(texts)), words.counts)]
 
@@ -272,13 +275,15 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
     """The model of a bounded sample of the labelled texts that are not held out."""
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).where(
-        F.col(lang_col).isNotNull() & (F.octet_length(text_col).between(1, MOST_BYTES))
+        F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)
     )
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    is_long = F.octet_length("text") > MOST_BYTES
+    drawn = Window.partitionBy("lang").orderBy(is_long, F.xxhash64("text"), "text")
     names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
     ids = rows.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= PER_LANGUAGE)
-    sample = ids.join(F.broadcast(names), "lang", "left_semi").select("text", "lang").collect()
+    sample = ids.join(F.broadcast(names), "lang", "left_semi")
+    sample = sample.select(F.substring("text", 1, MOST_BYTES).alias("text"), "lang").collect()
     sample.sort()
     return fit([r[0] for r in sample], [r[1] for r in sample])
 
