@@ -65,10 +65,9 @@ def drop_lines(pages: DataFrame, ratio=RATIO, min_pages=MIN_PAGES) -> DataFrame:
         "id",
         "host",
         F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
-        F.transform("lines", _hashes).alias("marks"),
     )
     marked = kept(marked.withColumn("page", F.monotonically_increasing_id()))
-    hosted = marked.where("host != ''")
+    hosted = marked.where("host != ''").select("page", "host", F.transform("lines", _hashes).alias("marks"))
     bad = boilerplate(hosted.select("host", "marks"), ratio, min_pages).select("host", "line")
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     found = (
@@ -80,7 +79,7 @@ def drop_lines(pages: DataFrame, ratio=RATIO, min_pages=MIN_PAGES) -> DataFrame:
     )
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     joined = marked.join(found, "page", "left").withColumn("bad", F.coalesce("bad", none))
-    stay = F.filter("lines", lambda x, i: ~F.array_contains(F.col("bad"), F.get("marks", i)))
+    stay = F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), _hashes(x)))
     joined = joined.withColumn("stay", F.when(F.size("bad") > 0, stay).otherwise(F.col("lines")))
     return joined.select(
         "id",
