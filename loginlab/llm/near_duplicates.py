@@ -13,8 +13,9 @@ Equal sets are one class and are compared once. The result has a row per documen
 connected by links), the smallest id with the same shingles, how many documents have these, and
 the number of other sets it is linked to. Null and empty texts, and texts without a word, have no
 shingles and link to nothing; each is its own class. Repeated rows are copies of each other. A null
-id is only a representative if no copy has an id. Other columns are ignored, or kept by
-``one_of_each``. An empty table gives an empty result.
+id is only a representative if no copy has an id. ``class_id`` is the smallest id of a class, so
+classes without an id, or with clashing ids, share it; ``class_key`` of ``links`` tells them apart.
+Other columns are ignored, or kept by ``one_of_each``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loginlab.llm.common import kept, per_process, table
@@ -256,8 +257,8 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 
 
 def links(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc_id", text_col="text") -> DataFrame:
-    """⟨id, class_id, set_id, n_copies, n_links⟩ per row of ``docs``, and ``set_key``, the digest of
-    its shingles."""
+    """⟨id, class_id, set_id, n_copies, n_links⟩ per row of ``docs``, ``set_key``, the digest of
+    its shingles, and ``class_key``, a number that no other class has."""
     runs = runs_for(recall)
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -359,11 +360,14 @@ def links(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc_id",
     known = sets.select("rec", "set_key", "set_id", "n_copies").join(linked, "rec", "left")
     known = kept(known.withColumn("class", F.coalesce("class", "rec")).withColumn("n_links", F.coalesce("n_links", F.lit(0))))
     names = known.groupBy("class").agg(F.min("set_id").alias("class_id"))
-    known = known.join(names, "class").select("set_key", "class_id", "set_id", "n_copies", "n_links")
+    known = known.join(names, "class").select(
+        "set_key", "class_id", "set_id", "n_copies", "n_links", F.col("class").alias("class_key")
+    )
     with_words = read_.where("n > 0").select("id", "set_key").join(known, "set_key")
     without = read_.where("n = 0").select(
         "set_key", "id", F.col("id").alias("class_id"), F.col("id").alias("set_id"),
         F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"),
+        (-1 - F.monotonically_increasing_id()).alias("class_key"),
     )
     return with_words.unionByName(without).withColumnRenamed("id", id_col)
 
@@ -390,29 +394,38 @@ def _linked(sets, part, i, j, threshold):
 
 def one_of_each(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` without all but one document of each class: the one with the smallest id stays,
-    and of several rows with that id the one with the smallest text."""
+    and of several rows with that id the one with the smallest text. A row without an id stays if its
+    class has none; rows of different classes never compete, whatever their ids. Rows without a word are
+    classes of their own, but of those with one id and one text one stays."""
     found = kept(links(docs, threshold, recall, id_col, text_col))
     several = found.groupBy(F.col(id_col).alias("_id")).agg(
         F.count("*").alias("_rows"), F.max(F.col(id_col).eqNullSafe(F.col("class_id"))).alias("_stays")
     )
-    kept_rows = docs.join(several.where("_stays"), docs[id_col].eqNullSafe(F.col("_id")))
+    several = several.where("_stays AND _id IS NOT NULL")
+    kept_rows = docs.join(several, docs[id_col] == F.col("_id"))
     alone = kept_rows.where("_rows = 1").select(docs.columns)
-    # several rows with one id: told apart by their shingles
-    tied = kept_rows.where("_rows > 1").select(docs.columns)
+    # several rows with one id, or without one: told apart by their shingles
+    tied = kept_rows.where("_rows > 1").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() for t in batch[text_col].to_pylist()]
+            sets = [shingles(t) for t in batch[text_col].to_pylist()]
+            data = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "_key"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tied.schema)
-    tied = tied.mapInArrow(keys, f"{fields}, _key binary")
-    which = found.select(F.col("set_key").alias("_key"), F.col("class_id").alias("_class")).distinct()
-    first = Window.partitionBy("_class").orderBy(F.coalesce(text_col, F.lit("")))
-    tied = tied.join(which, "_key").where(F.col(id_col).eqNullSafe(F.col("_class")))
-    tied = tied.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    tied = kept(tied.mapInArrow(keys, f"{fields}, _key binary"))
+    which = found.where("class_key >= 0").select(
+        F.col("set_key").alias("_key"), F.col("class_id").alias("_first"), F.col("class_key").alias("_class")
+    )
+    text = F.coalesce(text_col, F.lit(""))
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), text).alias("_row")
+    with_words = tied.where("_key IS NOT NULL").join(which.distinct(), "_key")
+    with_words = with_words.where(F.col(id_col).eqNullSafe(F.col("_first"))).groupBy("_class").agg(row)
+    without = tied.where("_key IS NULL").groupBy(F.col(id_col).alias("_id"), text.alias("_text")).agg(row)
+    tied = with_words.select("_row").unionByName(without.select("_row")).select("_row.*")
     return alone.unionByName(tied)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(table(spark, sf_dir, "documents")).drop("set_key")
+    return links(table(spark, sf_dir, "documents")).drop("set_key", "class_key")

@@ -160,6 +160,21 @@ def test_one_of_each_class_stays(spark, near_rows):
     assert near_duplicates.one_of_each(docs.where("false")).count() == 0
 
 
+def test_classes_with_null_and_repeated_ids_do_not_compete(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, e = (text(40) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a + " more"), (5, c), (5, d), (5, c + " more"), (None, d), (8, e), (None, e)]
+    rows += [(None, "!"), (None, "?"), (None, None), (5, "--"), (6, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = near_duplicates.one_of_each(docs)
+    assert left.columns == docs.columns
+    want = [(None, a), (None, b), (5, c), (5, d), (8, e), (None, "!"), (None, "?"), (None, None), (5, "--"), (6, "...")]
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, want))
+    found = near_duplicates.links(docs).collect()
+    assert len(found) == len(rows) and len({x.class_key for x in found}) == len(want)
+
+
 def test_join_query(spark, folder, odd_documents):
     got = near_duplicates.op6_ngram_jaccard_join(spark, folder)
     assert got.columns == ["doc_id", "class_id", "set_id", "n_copies", "n_links"]
