@@ -1,7 +1,9 @@
 """License scans as an exact set-similarity join.
 
-A template is the set of words of a license notice; a text block is a line of a document. A
-template is found in a block if the block has at least ``threshold`` of the template's words.
+A template is the set of words of a license notice; a text block is a line of a document, or a run of
+words across line breaks that is at most 1 / ``threshold`` times as long as the notice, so notices that are
+wrapped are found as well. A template is found in a block if the block has at least ``threshold`` of the
+template's words. The SQL of the query knows lines only: it agrees where no notice is wrapped.
 All template words are counted over the whole corpus and ordered from rare to frequent. If a block
 contains ``need`` of a template's ``n`` words, it contains one of the first ``n - need + 1`` of them
 (prefix filter); at position ``p`` of the template at most ``n - p`` words can still be shared, counting
@@ -85,7 +87,9 @@ def word_set(text: Column) -> Column:
 def _templates(spark, templates) -> DataFrame:
     rows = spark.createDataFrame(templates, "label string, notice string")
     words = rows.withColumn("words", F.array_sort(word_set(lower(spaced(F.col("notice"))))))
-    words = words.where(F.trim(spaced(F.col("notice"))) != "").select("label", "words").distinct()
+    words = words.where(F.trim(spaced(F.col("notice"))) != "")
+    length = F.size(F.split(F.trim(spaced(F.col("notice"))), " "))
+    words = words.groupBy("label", "words").agg(F.max(length).alias("length"))
     return words.withColumn("template", F.xxhash64("label", "words"))
 
 
@@ -106,42 +110,86 @@ def frequencies(docs: DataFrame, words: list[str], text_col="text") -> DataFrame
     return known.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def blocks_with(docs: DataFrame, templates, threshold=THRESHOLD, id_cols=("doc_id",), text_col="text") -> DataFrame:
-    """⟨id columns, block, label, template, containment⟩ of every line that has a template."""
-    spark = docs.sparkSession
-    known = kept(_templates(spark, templates))
+def _prefixes(docs: DataFrame, templates, threshold, text_col) -> DataFrame:
+    """⟨template, label, length, words, need, place, word⟩: the rare words by which templates are met."""
+    known = kept(_templates(docs.sparkSession, templates))
     vocabulary = [r[0] for r in known.select(F.explode("words")).distinct().limit(MOST_WORDS + 1).collect()]
     if len(vocabulary) > MOST_WORDS:
         raise ValueError("too many template words for one plan: scan in several runs")
     order = frequencies(docs, vocabulary, text_col)
     need = F.greatest(F.lit(1), F.ceil(F.size("words") * threshold - 1e-9)).cast("int")
     ordered = (
-        known.select("template", "label", F.explode("words").alias("word"))
+        known.select("template", "label", "length", F.explode("words").alias("word"))
         .join(order, "word")
-        .groupBy("template", "label")
+        .groupBy("template", "label", "length")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words"))
         .withColumn("need", need)
     )
-    prefix = kept(
+    return kept(
         ordered.select("*", F.posexplode("words").alias("place", "word")).where(F.size("words") - F.col("place") >= F.col("need"))
     )
-    rare = [r[0] for r in prefix.select("word").distinct().collect()]
-    text = F.coalesce(text_col, F.lit(""))
-    lines = docs.where(F.arrays_overlap(_wide(spaced(F.col(text_col))), _words(rare))).select(
-        *id_cols, F.posexplode(F.split(text, "\n")).alias("block", "line")
-    )
-    lines = lines.select(*id_cols, F.col("block").cast("long").alias("block"), word_set(lower(spaced(F.col("line")))).alias("have"))
-    met = lines.withColumn("word", F.explode(F.array_intersect("have", _words(rare)))).join(F.broadcast(prefix), "word")
+
+
+def _rare(prefix: DataFrame) -> Column:
+    return _words(r[0] for r in prefix.select("word").distinct().collect())
+
+
+def _met(blocks: DataFrame, prefix: DataFrame, rare: Column) -> DataFrame:
+    """Blocks with the templates of whose words, ``shared`` of them, they have enough."""
+    met = blocks.withColumn("word", F.explode(F.array_intersect("have", rare))).join(F.broadcast(prefix), "word")
     met = met.where(F.size("have") >= F.col("need"))
     # a pair meets at each prefix word that it shares: the first one speaks for it
     earlier = F.slice("words", F.lit(1), F.col("place"))
     met = met.where(~F.arrays_overlap("have", earlier))
-    shared = F.size(F.array_intersect("have", "words"))
-    return (
-        met.withColumn("shared", shared)
-        .where("shared >= need")
-        .select(*id_cols, "block", "label", "template", (F.col("shared") / F.size("words")).alias("containment"))
+    return met.withColumn("shared", F.size(F.array_intersect("have", "words"))).where("shared >= need")
+
+
+def _lines_with(docs: DataFrame, prefix: DataFrame, rare: Column, id_cols, text_col) -> DataFrame:
+    text = F.coalesce(text_col, F.lit(""))
+    lines = docs.where(F.arrays_overlap(_wide(spaced(F.col(text_col))), rare)).select(
+        *id_cols, F.posexplode(F.split(text, "\n")).alias("block", "line")
     )
+    lines = lines.select(*id_cols, F.col("block").cast("long").alias("block"), word_set(lower(spaced(F.col("line")))).alias("have"))
+    return _met(lines, prefix, rare).select(
+        *id_cols, "block", "label", "template", (F.col("shared") / F.size("words")).alias("containment")
+    )
+
+
+def _runs_with(docs: DataFrame, prefix: DataFrame, rare: Column, threshold, id_cols, text_col) -> DataFrame:
+    broken = docs.where(F.contains(F.col(text_col), F.lit("\n")) & F.arrays_overlap(_wide(spaced(F.col(text_col))), rare))
+    texts = broken.select(*id_cols, F.split(F.trim(lower(spaced(F.col(text_col)))), " ").alias("all_words"))
+    # the whole text is a block that holds all its runs: few texts pass
+    met = _met(texts.withColumn("have", F.array_distinct("all_words")), prefix, rare)
+    placed = F.transform("all_words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    hits = met.select(
+        *id_cols,
+        "label",
+        "template",
+        F.size("words").alias("size"),
+        "need",
+        F.ceil(F.col("length") / threshold - 1e-9).cast("int").alias("run"),
+        F.filter(placed, lambda x: F.array_contains("words", x["word"])).alias("hits"),
+    )
+
+    def count(hit, i):
+        run = F.filter(F.slice("hits", i + 1, F.col("run")), lambda x: x["at"] < hit["at"] + F.col("run"))
+        return F.size(F.array_distinct(F.transform(run, lambda x: x["word"])))
+
+    best = hits.withColumn("best", F.array_max(F.transform("hits", count))).where("best >= need")
+    return best.select(*id_cols, "label", "template", (F.col("best") / F.col("size")).alias("containment"))
+
+
+def blocks_with(docs: DataFrame, templates, threshold=THRESHOLD, id_cols=("doc_id",), text_col="text") -> DataFrame:
+    """⟨id columns, block, label, template, containment⟩ of every line that has a template."""
+    prefix = _prefixes(docs, templates, threshold, text_col)
+    return _lines_with(docs, prefix, _rare(prefix), id_cols, text_col)
+
+
+def runs_with(docs: DataFrame, templates, threshold=THRESHOLD, id_cols=("doc_id",), text_col="text") -> DataFrame:
+    """⟨id columns, label, template, containment⟩ of every text with a line break that has a template in
+    a run of words at most 1 / ``threshold`` times as long as the notice: the greatest containment."""
+    prefix = _prefixes(docs, templates, threshold, text_col)
+    return _runs_with(docs, prefix, _rare(prefix), threshold, id_cols, text_col)
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -163,7 +211,10 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold=THRESH
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("content", F.xxhash64("text"))
     rows = rows.withColumn("second", F.hash("text"))
-    found = blocks_with(rows, templates, threshold, ("id", "content", "second"), "text")
+    prefix, keys = _prefixes(rows, templates, threshold, "text"), ("id", "content", "second")
+    rare = _rare(prefix)
+    found = _lines_with(rows, prefix, rare, keys, "text").drop("block")
+    found = found.unionByName(_runs_with(rows, prefix, rare, threshold, keys, "text"))
     found = found.groupBy(
         F.col("id").alias("_id"), F.col("content").alias("_content"), F.col("second").alias("_second")
     ).agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))

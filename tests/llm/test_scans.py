@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -145,3 +146,33 @@ def test_every_block_above_the_threshold_is_found(spark):
                     want.add((i, b, label))
     found = licenses.blocks_with(spark.createDataFrame(docs, "doc_id long, text string"), templates, 0.6).collect()
     assert len(found) == len(want) and {(x.doc_id, x.block, x.label) for x in found} == want
+
+
+def test_wrapped_notices_are_found(spark):
+    r = random.Random(5)
+    notices = [t for _, t in licenses.TEMPLATES]
+    texts = []
+    for notice in notices:
+        words = notice.split()
+        for prefix, width in (("", 4), (" * ", 6), ("# ", 9)):
+            lines = [prefix + " ".join(words[k : k + width]) for k in range(0, len(words), width)]
+            texts.append("\n".join(["int main", *lines, "end"]))
+        texts.append("\n".join(" ".join([w, *r.choices(["foo", "bar"], k=6)]) for w in words))  # scattered
+        texts.append("\n".join(r.sample(words, len(words) * 3 // 4)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(x.doc_id, x.label, round(x.containment, 6)) for x in licenses.runs_with(docs, licenses.TEMPLATES).collect()}
+    want = set()
+    plain = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t).split()
+    for i, text in enumerate(texts):
+        words = plain(text)
+        for label, notice in licenses.TEMPLATES:
+            known = set(plain(notice))
+            run = math.ceil(len(plain(notice)) / 0.8 - 1e-9)
+            best = max(len(known & set(words[k : k + run])) for k in range(len(words)))
+            if best >= 0.8 * len(known) - 1e-9:
+                want.add((i, label, round(best / len(known), 6)))
+    assert found == want
+    rows = {x.doc_id: x for x in licenses.scan(docs).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in rows[5 * k + n].labels.split(",") and rows[5 * k + n].score == 1 for n in range(3))
+        assert rows[5 * k + 3].score == 0
