@@ -8,9 +8,11 @@ into segments, whose transfer matrices are multiplied first, so that all segment
 run side by side and still see everything before and after them. The language of a text is the one with the
 largest share of its words; the score is that share.
 
-Training learns from at most ``PER_LANGUAGE`` texts of each of at most ``MOST_LANGUAGES`` languages, drawn by
+Training learns every language, from at most ``PER_LANGUAGE`` texts of each and, where there are many
+languages, from an equal number of each out of ``MOST_TEXTS`` in all (one at least). They are drawn by
 a hash of the text, those of at most ``MOST_BYTES`` bytes first; of a longer one, taken where a language has too
-few, so many characters count. That bounds what the driver holds.
+few, so many characters count. Words are weighed part by part, so that what the driver holds beside the sample
+grows with the number of languages only.
 
 A null text, or one without a letter, is ``und`` with score 0. Ties go to the language that comes
 first in the alphabet. A null id is never held out and is not learned from; null languages are not learned
@@ -34,14 +36,16 @@ from loginlab.llm.common import per_process, table
 
 PER_LANGUAGE = 200
 MOST_BYTES = 8192
-MOST_LANGUAGES = 64
+MOST_TEXTS = 3200  # of all languages
 BUCKETS = 2**16  # hashed features of each kind
 LEXICON = 5000  # words of a language
 ROUNDS = 30
 SWITCHES = 0.01  # share of words after which the language is assumed to change
 SEGMENT = 128  # words
 LEAST_SCORE = 0.3  # below this a text has no main language; short clean texts can be near 0.4
-CHARACTERS = 1_000_000  # of a batch that is worked on at once
+CHARACTERS = 1_000_000  # of a batch that is worked on at once, with up to FEW languages
+FEW = 16
+NUMBERS = 8_000_000  # of an array in training: words times languages, segments times pairs of languages
 
 U64 = np.uint64
 
@@ -124,6 +128,20 @@ def emissions(words: Words, model: Model) -> np.ndarray:
     return out
 
 
+def _part(words: Words, a: int, b: int) -> Words:
+    """The words a to b, as one text."""
+    first, last = (int(words.begins[k]) if k < len(words.begins) else len(words.pairs) for k in (a, b))
+    return Words(
+        words.begins[a:b] - first,
+        words.pairs[first:last],
+        words.triples[first:last],
+        words.prefixes[a:b],
+        words.suffixes[a:b],
+        words.hashes[a:b],
+        np.array([b - a]),
+    )
+
+
 def _segments(counts: np.ndarray, size: int):
     """Begin, length, text and place in the text of segments of at most ``size`` words."""
     per = -(-counts // size)
@@ -228,24 +246,33 @@ def fit(texts: list[str], labels: list[str], rounds=ROUNDS) -> Model:
     )
     if k == 1 or not len(gold):
         return model
-    word = np.repeat(np.arange(len(words.begins), dtype=np.int32), np.diff(np.append(words.begins, len(words.pairs))))
     begin, length, _, _ = _segments(words.counts, SEGMENT)
     kept_ = np.eye(k) * (1 - SWITCHES) + (1 - np.eye(k)) * SWITCHES / (k - 1)
     pairs_of = np.bincount(gold[begin], weights=length - 1, minlength=k)[:, None] * kept_
-    params = [model.weights, model.transitions]
+    heavy = np.cumsum(np.maximum(length * k, k * k))
+    cut = np.append(np.nonzero(np.diff(heavy // NUMBERS, prepend=-1))[0], len(length))
+    params = [*model.weights, model.transitions]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for turn in range(1, rounds + 1):
-        seen, expected = marginals(emissions(words, model), length, model.transitions)
-        wrong = -seen
-        wrong[np.arange(len(gold)), gold] += 1
-        slope = np.empty_like(model.weights)
-        for y in range(k):
-            of_char = wrong[word, y]
-            slope[0, :, y] = np.bincount(words.pairs, of_char, BUCKETS)
-            slope[1, :, y] = np.bincount(words.triples, of_char, BUCKETS)
-            slope[2, :, y] = np.bincount(words.prefixes, wrong[:, y], BUCKETS)
-            slope[3, :, y] = np.bincount(words.suffixes, wrong[:, y], BUCKETS)
-        for p, g, (m, v) in zip(params, (slope - 2 * model.weights, pairs_of - expected - model.transitions), moments):
+        slope = np.zeros((len(model.weights), k, BUCKETS), np.float32)
+        expected = np.zeros((k, k))
+        for x, y in zip(cut[:-1], cut[1:]):
+            first, last = int(begin[x]), int(begin[y - 1] + length[y - 1])
+            part = _part(words, first, last)
+            seen, moved = marginals(emissions(part, model), length[x:y], model.transitions)
+            expected += moved
+            wrong = -seen
+            wrong[np.arange(last - first), gold[first:last]] += 1
+            sizes = np.diff(np.append(part.begins, len(part.pairs)))
+            for z in range(k):
+                of_char = np.repeat(wrong[:, z], sizes)
+                slope[0, z] += np.bincount(part.pairs, of_char, BUCKETS)
+                slope[1, z] += np.bincount(part.triples, of_char, BUCKETS)
+                slope[2, z] += np.bincount(part.prefixes, wrong[:, z], BUCKETS)
+                slope[3, z] += np.bincount(part.suffixes, wrong[:, z], BUCKETS)
+        slopes = [*(g.T for g in slope), pairs_of - expected]
+        for n, (p, g, (m, v)) in enumerate(zip(params, slopes, moments)):
+            g = g - (2 if n < len(model.weights) else 1) * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += 0.1 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
@@ -258,7 +285,8 @@ def judge(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
     shares = np.zeros((len(texts), len(model.languages)))
     some = np.nonzero(words.counts)[0]
     if len(some) and model.languages:
-        seen, _ = marginals(emissions(words, model), words.counts[some], model.transitions)
+        size = max(SEGMENT, len(model.languages))  # the matrices of a text take no more than its scores
+        seen, _ = marginals(emissions(words, model), words.counts[some], model.transitions, size)
         first = np.cumsum(words.counts[some]) - words.counts[some]
         shares[some] = np.add.reduceat(seen, first, axis=0) / words.counts[some][:, None]
     best = shares.argmax(axis=1) if model.languages else np.zeros(len(texts), int)
@@ -280,9 +308,9 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") ->
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     is_long = F.octet_length("text") > MOST_BYTES
     drawn = Window.partitionBy("lang").orderBy(is_long, F.xxhash64("text"), "text")
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    ids = rows.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= PER_LANGUAGE)
-    sample = ids.join(F.broadcast(names), "lang", "left_semi")
+    languages = rows.select("lang").distinct().count()
+    each = max(1, min(PER_LANGUAGE, MOST_TEXTS // max(1, languages)))
+    sample = rows.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= each)
     sample = sample.select(F.substring("text", 1, MOST_BYTES).alias("text"), "lang").collect()
     sample.sort()
     return fit([r[0] for r in sample], [r[1] for r in sample])
@@ -298,7 +326,8 @@ def identify(docs: DataFrame, model: Model, text_col="text", names=("lang_pred",
         for batch in batches:
             column = batch[text_col]
             sizes = np.array([len(t.as_py() or "") for t in column], np.int64)
-            cut = np.append(np.nonzero(np.diff(np.cumsum(sizes) // CHARACTERS, prepend=-1))[0], len(sizes))
+            most = CHARACTERS * FEW // max(FEW, len(sent.value.languages))
+            cut = np.append(np.nonzero(np.diff(np.cumsum(sizes) // most, prepend=-1))[0], len(sizes))
             for a, b in zip(cut[:-1], cut[1:]):
                 found = judge(column.slice(a, b - a).to_pylist(), sent.value)
                 yield pa.RecordBatch.from_arrays(

@@ -132,6 +132,24 @@ def test_nothing_to_learn_from(spark, labelled):
     assert languages.learn(docs.where("false")).languages == []
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(languages, "NUMBERS", 1_500_000)  # several parts
+    rng, rows = np.random.default_rng(6), []
+    for k in range(70):
+        own = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)]
+        rows += [(len(rows) + n, " ".join(rng.choice(own, 15)), f"l{k:02}") for n in range(10 if k else 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.learn(docs)
+    assert model.languages == sorted({r[2] for r in rows}) and len(model.languages) == 70
+    found = languages.judge([t for _, t, _ in rows], model)
+    assert np.mean([x[0] == lang for x, (_, _, lang) in zip(found, rows)]) > 0.95
+    monkeypatch.setattr(languages, "MOST_TEXTS", 140)
+    seen = []
+    monkeypatch.setattr(languages, "fit", lambda texts, labels: seen.extend(labels))
+    languages.learn(docs)
+    assert set(seen) == set(model.languages) and max(map(seen.count, set(seen))) == 2
+
+
 def test_code_switched_words_get_their_own_language(labelled):
     rows = [(t, lang) for _, t, lang in labelled if t and lang and len(t) < 8000 and any(map(str.isalpha, t))]
     model = languages.fit([t for t, _ in rows], [lang for _, lang in rows])
