@@ -42,7 +42,6 @@ LEXICON = 5000  # words of a language
 ROUNDS = 30
 SWITCHES = 0.01  # share of words after which the language is assumed to change
 SEGMENT = 128  # words
-LEAST_SCORE = 0.3  # below this a text has no main language; short clean texts can be near 0.4
 CHARACTERS = 1_000_000  # of a batch that is worked on at once, with up to FEW languages
 FEW = 16
 NUMBERS = 8_000_000  # of an array in training: words times languages, segments times pairs of languages
@@ -344,11 +343,11 @@ def identify(docs: DataFrame, model: Model, text_col="text", names=("lang_pred",
     return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, fields)
 
 
-def keep_identified(docs: DataFrame, least=LEAST_SCORE, text_col="text") -> DataFrame:
-    """The rows of ``docs`` with a language whose share of the words is at least ``least``."""
+def keep_identified(docs: DataFrame, text_col="text") -> DataFrame:
+    """The rows of ``docs`` that are not ``und``; texts that mix languages stay, whatever their score."""
     names = ("_lang_pred", "_lang_score")
     found = identify(docs, learn(docs), text_col, names, keep_text=True)
-    return found.where(f"{names[0]} != 'und' AND {names[1]} >= {least}").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.where(f"{names[0]} != 'und'").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,17 @@ def test_nothing_to_learn_from(spark, labelled):
     assert languages.learn(docs.where("false")).languages == []
 
 
+def test_texts_of_many_languages_stay(spark):
+    r, letters = np.random.default_rng(8), ["abcd", "efgh", "ijkl", "mnop", "qrst"]
+    word = lambda k: "".join(r.choice(list(letters[k]), 5))
+    rows = [(n, " ".join(word(n % 5) for _ in range(30)), f"l{n % 5}") for n in range(60)]
+    rows += [(100, " ".join(word(k) for k in range(5) for _ in range(20)), None), (101, "1 2 3", None), (102, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = {x.doc_id: x.score for x in languages.identify(docs, languages.learn(docs)).collect()}
+    assert 0 < judged[100] < 0.3
+    assert sorted(x.doc_id for x in languages.keep_identified(docs).collect()) == [*range(60), 100]
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(languages, "NUMBERS", 1_500_000)  # several parts
     rng, rows = np.random.default_rng(6), []
