@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 try:
     import public_tokenizers
@@ -54,3 +57,45 @@ def kept(df: DataFrame) -> DataFrame:
     whatever happens to executors; Spark removes them when nothing refers to them any more."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A name for a new folder among the shared ones."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ⟨file, row in the file⟩ that tells its rows apart and stays the same however
+    often and in whatever splits they are read. Rows that do not come from Parquet files are written first."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.select("*", at.alias(name))
+    except AnalysisException:
+        path = scratch_folder(df.sparkSession, "rows")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path).select("*", at.alias(name))
+
+
+HOT_SHARE = 200  # keys with more than this part of all rows are hot: there are fewer of them than this
+SALTS = 32
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: str) -> DataFrame:
+    """Left join of ``rows`` with ``groups``, which has one row per key and the number of its rows in
+    ``size``. The rows of hot keys are spread over SALTS parts by a hash of the column ``spread``;
+    fewer than HOT_SHARE keys can be hot, so these are broadcast."""
+    groups = kept(groups)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    marked = groups.withColumn("_hot", F.col(size) * HOT_SHARE > total)
+    hot = marked.where("_hot").select(*on, F.lit(True).alias("_is_hot"))
+    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    rows = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_is_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread_groups = marked.withColumn("_salt", F.explode(every)).drop("_hot")
+    return rows.join(spread_groups, [*on, "_salt"], "left").drop("_salt")
