@@ -1,7 +1,7 @@
 """The named queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from loginlab.llm import byte_bpe, exact_dedup, languages, lexical_search, licenses, near_duplicates, nearest, packing, site_lines, token_counts, url_filters
+from loginlab.llm import byte_bpe, exact_dedup, languages, lexical_search, licenses, near_duplicates, nearest, packing, site_lines, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": near_duplicates.op6_ngram_jaccard_join,
     "op9_language_id": languages.op9_language_id,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_warc": warc.op12_warc,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_site_lines": site_lines.ORACLE_SQL,
     "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op12_warc": warc.ORACLE_SQL,
 }
