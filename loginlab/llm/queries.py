@@ -1,7 +1,7 @@
 """The named queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from loginlab.llm import byte_bpe, exact_dedup, languages, lexical_search, licenses, near_duplicates, nearest, packing, site_lines, token_counts, url_filters, warc
+from loginlab.llm import byte_bpe, exact_dedup, languages, lexical_search, licenses, near_duplicates, nearest, packing, site_lines, token_counts, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": languages.op9_language_id,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_warc": warc.op12_warc,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op10_site_lines": site_lines.ORACLE_SQL,
     "op11_lexical_search": lexical_search.ORACLE_SQL,
     "op12_warc": warc.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
