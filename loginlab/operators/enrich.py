@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loginlab.functions.columns import address, epoch_seconds, network_of
+from loginlab.sources.attempts import materialize
 
 NETWORK_COLUMNS = ["network", "isp", "asn_org", "country", "city"]
 NOT_FOUND = "NA"
 
 
-# there are at most 2**17 - 1 prefixes of either family that are this short
-SHORT_PREFIX = 16
-
-
 def ip_networks(ips: DataFrame, prefixes: DataFrame, ip: str = "client_ip") -> DataFrame:
     """Longest matching prefix for every distinct IPv4 or IPv6 address, ``NA`` when there is none.
+    Of equal prefixes the one with the first values counts, in the order of the columns.
 
-    An address is masked to every prefix length that occurs, which turns the range lookup
-    into an equi-join on the masked address. Short prefixes would gather
-    many addresses under one key, but there are few of them, so they are broadcast.
+    Prefixes and addresses are put in one order, dealt out by ranges, and every address takes the last
+    prefix that begins at or before it. Prefixes are nested or apart, so it lies in this one or in one of those
+    that enclose it, whose lengths that prefix carries along. Ranges are even whatever the
+    addresses are; what precedes a range is one row for each.
     """
     distinct = ips.select(ip).distinct()
     proxy = F.col("is_proxy") if "is_proxy" in prefixes.columns else F.lit(False)
@@ -28,26 +27,18 @@ def ip_networks(ips: DataFrame, prefixes: DataFrame, ip: str = "client_ip") -> D
     table = (
         prefixes.withColumn("len", length)
         .withColumn("bits", address(F.substring_index("network", "/", 1)))
-        .where("bits IS NOT NULL AND len IS NOT NULL")
+        .where("bits IS NOT NULL AND len BETWEEN 0 AND IF(bits.family = 4, 32, 128)")
         .withColumn("net", network_of(F.col("bits"), F.col("len")))
-        .select("len", "net", *NETWORK_COLUMNS, proxy.alias("is_proxy"))
-        .dropDuplicates(["len", "net"])
+        .groupBy("len", "net")
+        .agg(F.min(F.struct(*NETWORK_COLUMNS, proxy.alias("is_proxy"))).alias("hit"))
     )
-    # at most 33 + 129 rows
-    lengths = table.select(F.col("net.family").alias("family"), "len").distinct()
+    table = materialize(table, "prefixes")
     numbers = distinct.withColumn("bits", address(ip)).where("bits IS NOT NULL")
-    probes = numbers.join(F.broadcast(lengths), F.col("bits.family") == F.col("family")).select(
-        ip, "len", network_of(F.col("bits"), F.col("len")).alias("net")
-    )
-    is_short = F.col("len") <= SHORT_PREFIX
-    hits = (
-        probes.where(is_short)
-        .join(F.broadcast(table.where(is_short)), ["len", "net"])
-        .unionByName(probes.where(~is_short).join(table.where(~is_short), ["len", "net"]))
-    )
-    best = hits.groupBy(ip).agg(
-        F.max_by(F.struct(*NETWORK_COLUMNS, "is_proxy"), "len").alias("hit")
-    )
+    placed = _last_starts(_enclosing(table), numbers, ip)
+    fits = lambda n: network_of(F.col("bits"), n) == network_of(F.col("start"), n)
+    placed = placed.where("bits.family = start.family").withColumn("len", F.get(F.filter("lengths", fits), F.lit(0)))
+    best = placed.where("len IS NOT NULL").withColumn("net", network_of(F.col("bits"), F.col("len")))
+    best = best.join(table, ["len", "net"]).select(ip, "hit")
     return distinct.join(best, ip, "left").select(
         ip,
         *[F.coalesce(F.col(f"hit.{c}"), F.lit(NOT_FOUND)).alias(c) for c in NETWORK_COLUMNS],
@@ -55,6 +46,54 @@ def ip_networks(ips: DataFrame, prefixes: DataFrame, ip: str = "client_ip") -> D
     )
 
 
+def _enclosing(table: DataFrame) -> DataFrame:
+    """⟨start, lengths⟩: where prefixes begin, and the lengths of all prefixes that hold this address, longest first."""
+    # at most 33 + 129 rows
+    lengths = table.select(F.col("net.family").alias("family"), F.col("len").alias("other")).distinct()
+    starts = table.select(F.col("net").alias("start"), "len")
+    shorter = (F.col("start.family") == F.col("family")) & (F.col("other") < F.col("len"))
+    asked = starts.join(F.broadcast(lengths), shorter).select(
+        "start", F.col("other").alias("len"), network_of(F.col("start"), F.col("other")).alias("net")
+    )
+    above = asked.join(table.select("len", "net"), ["len", "net"]).select("start", "len")
+    return (
+        starts.unionByName(above)
+        .groupBy("start")
+        .agg(F.sort_array(F.collect_set("len"), asc=False).alias("lengths"))
+    )
+
+
+def _last_starts(starts: DataFrame, numbers: DataFrame, ip: str) -> DataFrame:
+    """⟨ip, bits, start, lengths⟩: the last start at or before each address."""
+    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(2**63)))
+    order = ["family", "hi", "lo", "is_ip"]
+
+    def lined_up(df, bits, is_ip, lengths, name):
+        return df.select(
+            F.col(f"{bits}.family").alias("family"),
+            unsigned(f"{bits}.hi").alias("hi"),
+            unsigned(f"{bits}.lo").alias("lo"),
+            F.lit(is_ip).alias("is_ip"),
+            F.col(bits).alias("bits"),
+            lengths.alias("lengths"),
+            name.alias("_ip"),
+        )
+
+    both = lined_up(starts, "start", 0, F.col("lengths"), F.lit(None).cast("string")).unionByName(
+        lined_up(numbers, "bits", 1, F.lit(None).cast("array<int>"), F.col(ip))
+    )
+    both = materialize(both.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    start = F.when(F.col("is_ip") == 0, F.struct(F.col("bits").alias("start"), "lengths"))
+    # one row for each range: the last start in those before it
+    ends = both.groupBy("part").agg(F.max_by(start, F.when(F.col("is_ip") == 0, F.struct(*order))).alias("end"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("part", F.last("end", ignorenulls=True).over(earlier).alias("before"))
+    so_far = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("own", F.last(start, ignorenulls=True).over(so_far)).where("is_ip = 1")
+    found = found.join(F.broadcast(ends), "part").withColumn("own", F.coalesce("own", "before"))
+    return found.select(F.col("_ip").alias(ip), "bits", "own.start", "own.lengths")
+
+
 # fixed values: first matching pattern decides
 OS_PATTERNS = [
     (r"Windows Phone", "Windows Phone"),

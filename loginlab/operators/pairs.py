@@ -5,13 +5,17 @@ join below returns every pair under a given distance, and only those. Its keys
 follow from the distance itself: the address part and the date part alone decide
 how many days two rows may lie apart when they share the address, the network,
 the ISP, or nothing, so no pair under the limit is missed.
+
+Rows under a key are put into blocks of similar rows: ordered by the classes of their volumes, on a scale on
+which a ratio is a difference. From the smallest and largest values of two blocks follows the least
+distance that rows of them can have; only blocks that may hold a near pair meet.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loginlab.functions import distance
@@ -19,13 +23,22 @@ from loginlab.functions.columns import all_of
 from loginlab.sources.attempts import materialize
 
 MAX_DISTANCE = 0.4
-ROWS_PER_BLOCK = 2000
+ROWS_PER_BLOCK = 500
 NEEDED = [
     "id", "client_ip", "network", "ISP", "DATE", "MIT_Mean", "SIT", "FPIB", "FTP", "FNUA", "NUA",
     "FF", "FVU", "zxcvbn_0", "zxcvbn_1", "NR", "NU", "AUPPU",
     "os_json_cnt", "app_json_cnt", "browser_json_cnt",
 ]
 
+WEAK = "weak share"
+# features whose ratio is part of the distance, with their weight in it
+RATIOS = {
+    "NR": 1.0, "NU": 1.0, WEAK: 1.0, "MIT_Mean": 1 / 2, "SIT": 1 / 2, "FF": 1 / 2, "FVU": 1 / 2, "FNUA": 1 / 5, "NUA": 1 / 5,
+}
+SIGNED = {"FPIB": 1 / 2, "FTP": 1 / 2}
+# what rows are ordered by; at most 5 ** 5 classes of a key
+ORDERED_BY = ["NR", "NU", "AUPPU", WEAK, "MIT_Mean"]
+
 # what two rows share, closest kinship first, with the address part it gives
 KINSHIP = [
     ("client_ip", 0.0),
@@ -98,11 +111,8 @@ def distances_of(
     return _with_usernames(both, usernames, passwords).select("i", "j", "dist")
 
 
-def _meeting_keys(
-    max_distance: float, passwords: bool, neighbours: bool, missing_matches: bool = True
-):
-    """The keys under which a row meets others: ⟨kinship, shared value, day⟩. The
-    visiting side (``neighbours``) also appears on the nearby days."""
+def _meeting_keys(max_distance: float, passwords: bool, missing_matches: bool = True):
+    """The keys under which a row meets others: ⟨kinship, shared value, day⟩."""
     slack = distance.INNER_WEIGHT[passwords] if passwords else 0.0
     any_day = F.lit("1970-01-01").cast("date")
     keys = []
@@ -110,13 +120,12 @@ def _meeting_keys(
         days = days_apart(address, max_distance, slack)
         if days is None and shared is None:
             raise ValueError("max_distance is too large: unrelated rows of any day would qualify")
-        reach = 0 if days is None or not neighbours else days
-        for n in range(-reach, reach + 1) if days != -1 else ():
+        if days != -1:
             keys.append(
                 F.struct(
                     F.lit(kind).alias("_kind"),
                     (F.col(shared) if shared else F.lit("")).alias("_key"),
-                    (any_day if days is None else F.date_add("DATE", n)).alias("_day"),
+                    (any_day if days is None else F.col("DATE")).alias("_day"),
                 )
             )
     keys = F.array(*keys)
@@ -125,22 +134,136 @@ def _meeting_keys(
     return F.filter(keys, lambda k: ~(k["_kind"].isin(1, 2) & (k["_key"] == "NA")))
 
 
-def _candidates(rows, max_distance, passwords, rows_per_block, missing_matches=True) -> DataFrame:
-    """Pairs whose distance without the user agents, and with the least that the usernames
-    can add, is under the limit. A key with many rows is split into blocks: one side is spread over the
-    blocks, the other visits all of them, so no task holds a hot key."""
-    key = ["_kind", "_key", "_day"]
-    home = rows.select("*", F.inline(_meeting_keys(max_distance, passwords, False, missing_matches)))
-    sizes = home.groupBy(*key).agg(
-        F.ceil(F.count("*") / F.lit(rows_per_block)).cast("int").alias("_blocks")
+def _value(name: str, row=F.col) -> Column:
+    if name == WEAK:
+        return distance.weak_share(row)
+    value = row(name).cast("double")
+    return F.greatest(value, F.lit(0.0)) if name in SIGNED else value
+
+
+def _class(rows: DataFrame) -> Column:
+    """The class of a row: for each of a few features zero, or the quarter of its other values."""
+    cuts = rows.agg(
+        *[
+            F.percentile_approx(F.when(_value(c) > 0, _value(c)), [0.25, 0.5, 0.75], 1000).alias(f"_{k}")
+            for k, c in enumerate(ORDERED_BY)
+        ]
+    ).first()
+    out = F.lit(0)
+    for c, values in zip(ORDERED_BY, cuts):
+        place = F.when(_value(c) > 0, 1).otherwise(0)
+        for v in values or ():
+            place = place + F.when(_value(c) > v, 1).otherwise(0)
+        out = out * 5 + place
+    return out.cast("int")
+
+
+KEY = ["_kind", "_key", "_day"]
+
+
+def in_blocks(rows, max_distance, passwords, rows_per_block, missing_matches=True) -> DataFrame:
+    """The rows under each of their keys, with the block they are in there: neighbours in the order of
+    their classes, about ``rows_per_block`` of them."""
+    keyed = rows.withColumn("_class", _class(rows)).select(
+        "*", F.inline(_meeting_keys(max_distance, passwords, missing_matches))
+    )
+    sizes = keyed.groupBy(*KEY, "_class").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*KEY).orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *KEY,
+        "_class",
+        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows_per_block).alias("_first"),
+        F.ceil(F.col("_n") / F.lit(rows_per_block)).alias("_pieces"),
+    )
+    block = F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_pieces"))
+    return keyed.join(sizes, [*KEY, "_class"]).withColumn("_block", block).drop("_class", "_first", "_pieces")
+
+
+def _boxes(home: DataFrame, passwords: bool) -> DataFrame:
+    """Per block the smallest and largest values, and its number of rows."""
+    names = [*RATIOS, "AUPPU"] + (list(SIGNED) if passwords else [])
+    return home.groupBy(*KEY, "_block").agg(
+        F.count("*").alias("_rows"),
+        F.min("DATE").alias("_from"),
+        F.max("DATE").alias("_to"),
+        *[f(_value(c)).alias(f"{n} {c}") for c in names for n, f in (("min", F.min), ("max", F.max))],
+    )
+
+
+def _least_distance(a, b, passwords: bool) -> Column:
+    """The least distance that a row of box ``a`` and one of box ``b`` can have. A feature with missing or negative
+    values says nothing."""
+
+    def bounds(name):
+        low = F.greatest(a(f"min {name}"), b(f"min {name}"))
+        high = F.least(a(f"max {name}"), b(f"max {name}"))
+        apart = (low > high) & (F.least(a(f"min {name}"), b(f"min {name}")) >= 0)
+        return low, high, apart
+
+    def ratio(name):
+        low, high, apart = bounds(name)
+        return F.when(apart, (low - high) / (low + high)).otherwise(0.0)
+
+    def largest(name):
+        one = F.try_divide(a(f"max {name}") - b(f"min {name}"), a(f"max {name}") + b(f"min {name}"))
+        two = F.try_divide(b(f"max {name}") - a(f"min {name}"), b(f"max {name}") + a(f"min {name}"))
+        return F.coalesce(F.greatest(one, two, F.lit(0.0)), F.lit(1.0))
+
+    weights = {k: w for k, w in RATIOS.items() if passwords or k != WEAK} | ({"AUPPU": 1.0} if passwords else {})
+    inner = F.lit(0.0)
+    for name, w in weights.items():
+        inner = inner + ratio(name) * w
+    low, high, apart = bounds("NU")
+    inner = inner + F.when(apart, 1 - high / low).otherwise(0.0)
+    for name, w in SIGNED.items() if passwords else ():
+        inner = inner - largest(name) * w
+    days = F.greatest(F.datediff(a("_from"), b("_to")), F.datediff(b("_from"), a("_to")), F.lit(0))
+    address = F.element_at(F.array(*[F.lit(v) for _, v in KINSHIP]), a("_kind") + 1)
+    outer = address + 1 - F.exp(-days.cast("double"))
+    return outer * distance.OUTER_WEIGHT + inner * distance.INNER_WEIGHT[passwords]
+
+
+def block_pairs(home: DataFrame, max_distance, passwords: bool) -> DataFrame:
+    """Pairs of blocks that may hold a near pair: the key and block of both, their numbers of rows and a number for
+    the pair. The second one lies on a day that the distance allows."""
+    boxes = _boxes(home, passwords)
+    reach = []
+    for _, address in KINSHIP:
+        days = days_apart(address, max_distance, distance.INNER_WEIGHT[passwords] if passwords else 0.0)
+        reach.append(F.lit(0 if days is None else max(days, 0)))
+    days = F.element_at(F.array(*reach), F.col("_kind") + 1)
+    visiting = boxes.withColumn("_own_day", F.col("_day")).withColumn(
+        "_day", F.explode(F.transform(F.sequence(-days, days), lambda n: F.date_add("_own_day", n)))
     )
-    own_block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    home = home.join(sizes, key).withColumn("_block", own_block)
-    visiting = (
-        rows.select("*", F.inline(_meeting_keys(max_distance, passwords, True, missing_matches)))
-        .join(sizes, key)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    a = lambda c: F.col(f"a.`{c}`")
+    b = lambda c: F.col(f"b.`{c}`")
+    # a little room, for the order in which the terms are added
+    on = all_of([a(k) == b(k) for k in KEY] + [_least_distance(a, b, passwords) < max_distance + 1e-9])
+    return (
+        boxes.alias("a")
+        .join(visiting.alias("b"), on)
+        .select(
+            *[a(k).alias(k) for k in KEY],
+            a("_block").alias("_block"),
+            b("_own_day").alias("_other_day"),
+            b("_block").alias("_other"),
+            a("_rows").alias("_rows"),
+            b("_rows").alias("_other_rows"),
+        )
     )
+
+
+def _candidates(rows, max_distance, passwords, rows_per_block, missing_matches=True) -> DataFrame:
+    """Pairs whose distance without the user agents, and with the least that the usernames
+    can add, is under the limit."""
+    home = in_blocks(rows, max_distance, passwords, rows_per_block, missing_matches)
+    home = materialize(home, "blocks")
+    met = materialize(block_pairs(home, max_distance, passwords), "block_pairs")
+    pair = ["_kind", "_key", "_day", "_block", "_other_day", "_other"]
+    met = met.select(*pair)
+    left = home.join(met, [*KEY, "_block"])
+    right = home.withColumnsRenamed({"_day": "_other_day", "_block": "_other"})
+    right = right.join(met, ["_kind", "_key", "_other_day", "_other"])
     a = lambda c: F.col(f"a.{c}")
     b = lambda c: F.col(f"b.{c}")
     parts = distance.parts(a, b, passwords, missing_matches)
@@ -156,12 +279,12 @@ def _candidates(rows, max_distance, passwords, rows_per_block, missing_matches=T
             same = same & (a(shared) != "NA")
         closest = F.when(same, kind).otherwise(closest)
     on = all_of(
-        [a(k) == b(k) for k in [*key, "_block"]]
+        [a(k) == b(k) for k in pair]
         + [a("id") < b("id"), a("_kind") == closest, bound < max_distance]
     )
     return (
-        home.alias("a")
-        .join(visiting.alias("b"), on)
+        left.alias("a")
+        .join(right.alias("b"), on)
         .select(
             a("id").alias("i"),
             b("id").alias("j"),
