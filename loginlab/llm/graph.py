@@ -1,37 +1,16 @@
-"""Connected components by contraction."""
+"""Connected components of numbered sets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loginlab.llm.common import kept
+from loginlab.llm.common import shared_folder
+from loginlab.operators import components as linked
 
+LINKS_PER_TASK = 500_000
 
-def components(edges: DataFrame) -> DataFrame:
-    """⟨node, component⟩ of ⟨a, b⟩ (longs): a component is named by its smallest node.
 
-    In each round every node takes over the name of the neighbour, or itself, that comes first in an
-    order drawn anew for the round; edges are rewritten and equal ones merged, until none is left.
-    The number of rounds grows with the logarithm of the longest path, whatever the order of the ids.
-    """
-    edges = kept(edges.where("a != b").distinct())
-    names = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    names = kept(names.withColumn("name", F.col("node")))
-    turn = 0
-    while not edges.isEmpty():
-        turn += 1
-        draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("id"))  # noqa: E731, B023
-        both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
-            edges.select(F.col("b").alias("x"), F.col("a").alias("y"))
-        )
-        first = both.groupBy("x").agg(F.min(draw("y")).alias("near"))
-        first = kept(first.select("x", F.least(draw("x"), F.col("near"))["id"].alias("to")))
-        new_a = first.select(F.col("x").alias("a"), F.col("to").alias("na"))
-        new_b = first.select(F.col("x").alias("b"), F.col("to").alias("nb"))
-        edges = edges.join(new_a, "a").join(new_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        edges = kept(edges.where("a != b").distinct())
-        new = first.select(F.col("x").alias("name"), "to")
-        names = kept(names.join(new, "name", "left").select("node", F.coalesce("to", "name").alias("name")))
-    least = names.groupBy("name").agg(F.min("node").alias("component"))
-    return names.join(least, "name").select("node", "component")
+def components(edges: DataFrame) -> DataFrame:
+    """⟨node, component⟩ of ⟨a, b⟩ (longs): a component is named by its smallest node."""
+    shared_folder(edges.sparkSession)
+    return linked.components(edges, LINKS_PER_TASK)
