@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
+from functools import wraps
+
+import pyarrow as pa
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loginlab.functions import skew
+
 try:
     import public_tokenizers
 
@@ -34,6 +40,20 @@ def per_process(key, make):
     return _kept[key]
 
 
+def trimmed(run):
+    """A step of ``mapInArrow`` that gives back the memory of its task at the end, before the
+    process waits for another step of another operator."""
+
+    @wraps(run)
+    def tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidy
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,20 +102,6 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         return df.sparkSession.read.schema(df.schema).parquet(path).select("*", at.alias(name))
 
 
-HOT_SHARE = 200  # keys with more than this part of all rows are hot: there are fewer of them than this
-SALTS = 32
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: str) -> DataFrame:
-    """Left join of ``rows`` with ``groups``, which has one row per key and the number of its rows in
-    ``size``. The rows of hot keys are spread over SALTS parts by a hash of the column ``spread``;
-    fewer than HOT_SHARE keys can be hot, so these are broadcast."""
-    groups = kept(groups)
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    marked = groups.withColumn("_hot", F.col(size) * HOT_SHARE > total)
-    hot = marked.where("_hot").select(*on, F.lit(True).alias("_is_hot"))
-    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    rows = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_is_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread_groups = marked.withColumn("_salt", F.explode(every)).drop("_hot")
-    return rows.join(spread_groups, [*on, "_salt"], "left").drop("_salt")
+    """Left join of ``rows`` with ``groups``, whose hot keys are spread."""
+    return skew.join_groups(rows, kept(groups), on, size, spread)

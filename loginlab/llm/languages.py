@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loginlab.llm.common import per_process, table
+from loginlab.llm.common import per_process, table, trimmed
 
 PER_LANGUAGE = 200
 MOST_BYTES = 8192
@@ -42,7 +42,7 @@ LEXICON = 5000  # words of a language
 ROUNDS = 30
 SWITCHES = 0.01  # share of words after which the language is assumed to change
 SEGMENT = 128  # words
-CHARACTERS = 1_000_000  # of a batch that is worked on at once, with up to FEW languages
+CHARACTERS = 500_000  # of a batch that is worked on at once, with up to FEW languages
 FEW = 16
 NUMBERS = 8_000_000  # of an array in training: words times languages, segments times pairs of languages
 
@@ -321,6 +321,7 @@ def identify(docs: DataFrame, model: Model, text_col="text", names=("lang_pred",
     kept_ = [f for f in docs.schema if f.name not in names and (keep_text or f.name != text_col)]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch[text_col]

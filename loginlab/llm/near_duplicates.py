@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlab.llm.common import kept, per_process, table
+from loginlab.llm.common import kept, per_process, table, trimmed
 from loginlab.llm.graph import components
 
 WORDS = 5
@@ -43,7 +43,7 @@ LARGE = 2048  # sets in a bucket beyond which Spark splits it
 DEPTH = 5  # splits, after which the rest of a bucket counts as one group
 BLOCK = 400_000  # shingles of a group that one task compares with as many others
 SLOTS = 2**20  # bound of the broadcast that filters documents without a partner
-MOST_WORDS = 400_000
+MOST_WORDS, LONGEST = 100_000, 64  # words that are remembered, and characters of one
 
 U64 = np.uint64
 _WORD = re.compile(r"\w+")
@@ -64,9 +64,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word):
-        if len(self) > MOST_WORDS:
-            self.clear()
-        n = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        n = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        if len(word) <= LONGEST:
+            if len(self) > MOST_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -211,6 +213,7 @@ def _candidate_edges(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
     least = large.groupBy("bucket").agg(F.min("rec").alias("b"))
     rest = large.select("bucket", F.col("rec").alias("a")).join(least, "bucket").select("a", "b")
 
+    @trimmed
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, ["bucket"]):
             bucket, ids, sizes = (rows[c].to_numpy() for c in ("bucket", "rec", "n"))
@@ -263,6 +266,7 @@ def links(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    @trimmed
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
@@ -303,6 +307,7 @@ def links(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc_id",
     slots = members.select(F.pmod(F.xxhash64("set_id"), F.lit(SLOTS)).alias("slot")).distinct()
     again = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
 
+    @trimmed
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
@@ -333,6 +338,7 @@ def links(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc_id",
         .sortWithinPartitions("grp", "i", "j", "rec")
     )
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, ["grp", "i", "j"]):
             grp, i, j, part, rec, blocks = (rows[c].to_numpy() for c in ("grp", "i", "j", "part", "rec", "blocks"))
@@ -407,6 +413,7 @@ def one_of_each(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc
     # several rows with one id, or without one: told apart by their shingles
     tied = kept_rows.where("_rows > 1").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
+    @trimmed
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch[text_col].to_pylist()]
