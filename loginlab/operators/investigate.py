@@ -216,9 +216,10 @@ def password_reuse_across_ips(attempts: DataFrame, ips) -> DataFrame:
         .where("n > 1")
     )
     rows = attempts.join(seen, day, "left_semi")
+    uses = password_origins(rows, "username").select(*day, "origin", "client_ip", "slot")
+    uses = materialize(uses, "uses")
     first_use = (
-        password_origins(rows, "username")
-        .groupBy(*day, "origin", "client_ip")
+        uses.groupBy(*day, "origin", "client_ip")
         .agg(F.min("slot").alias("first"), F.count("*").alias("n"))
     )
     by_ip = F.struct("first", "client_ip")
@@ -232,7 +233,6 @@ def password_reuse_across_ips(attempts: DataFrame, ips) -> DataFrame:
         .groupBy(*day, "origin")
         .agg(F.min("first").alias("second"))
     )
-    uses = password_origins(rows, "username").select(*day, "origin", "client_ip", "slot")
     after_second = (
         uses.join(opener.select(*day, "origin", "o"), [*day, "origin"])
         .join(second, [*day, "origin"])
@@ -240,7 +240,7 @@ def password_reuse_across_ips(attempts: DataFrame, ips) -> DataFrame:
             (F.col("client_ip") != F.col("o.client_ip")) | (F.col("slot") > F.col("second"))
         )
     )
-    total = rows.agg(F.count("*").alias("total"))
+    total = uses.agg(F.count("*").alias("total"))
     return after_second.agg(F.count("*").alias("reused")).withColumn("total", total.scalar())
 
 

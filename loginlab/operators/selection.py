@@ -41,6 +41,12 @@ LSET_COLUMNS = [
     "zxcvbn_1", "zxcvbn_0", "os_json_cnt", "app_json_cnt", "browser_json_cnt", "NUA", "RCJ",
     "duo_responses",
 ]
+# what the feature rows are computed from
+READ = [
+    "id", "username", "client_ip", "timestamp", "d", "result", "result_code", "user_agent",
+    "appeared_in_breach", "username_appeared_in_breach", "password_appeared_in_breach", "zxcvbn_score",
+    "credential_tweaking_measurements", "is_unique_pws_by_ip",
+]
 
 
 @dataclass
@@ -62,18 +68,21 @@ def lsets(
     prefixes: DataFrame,
     mfa_log: DataFrame,
     chosen: DataFrame | None = None,
+    mine: DataFrame | None = None,
 ) -> DataFrame:
     """Feature rows with network, user-agent, second-factor and password columns.
 
     ``chosen`` are feature rows already selected; then only their attempts, and the
-    days of their users, are read for the added columns. Usernames stay in
-    :func:`loginlab.operators.features.lset_usernames`.
+    days of their users, are read for the added columns. ``mine`` are these attempts, where they are
+    stored already. Usernames stay in :func:`loginlab.operators.features.lset_usernames`.
     """
     key = ["client_ip", "d"]
     f = features.ip_day_features(attempts) if chosen is None else chosen
-    mine = whole_days = attempts
-    if chosen is not None:
-        mine = attempts.join(chosen.select(*key), key, "left_semi")
+    whole_days = attempts
+    if chosen is None:
+        mine = attempts
+    else:
+        mine = attempts.join(chosen.select(*key), key, "left_semi") if mine is None else mine
         users = mine.select("username", "d").distinct()
         whole_days = attempts.join(users, ["username", "d"], "left_semi")
     passwords = features.unique_passwords_per_user(whole_days).drop("unique_submissions")
@@ -84,7 +93,7 @@ def lsets(
         f.join(passwords, key, "left")
         .join(enrich.user_agent_counts(mine), key, "left")
         .join(mfa.select(*key, "duo_responses"), key, "left")
-        .join(enrich.ip_networks(mine, prefixes), "client_ip", "left")
+        .join(enrich.ip_networks(attempts if chosen is None else chosen, prefixes), "client_ip", "left")
         .withColumns(
             {
                 "id": F.concat_ws("|", "client_ip", "d"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loginlab.functions.columns import share
 from loginlab.operators import campaigns, clustering, features, pairs, selection
 from loginlab.sources.attempts import materialize, release
 
@@ -20,15 +21,21 @@ class Inputs:
 
 
 def suspicious_lsets(inputs: Inputs, rules: selection.Rules | None = None) -> DataFrame:
-    """The filtered feature rows, computed once and kept for the steps after. The
-    high failure rate is decided on the plain features, before anything is added."""
+    """The filtered feature rows, computed once and kept for the steps after. The high failure rate
+    is decided on two counts, before anything else: the features are computed from the attempts of the
+    rows that have it, and these attempts are read from the log once."""
     rules = rules or selection.Rules()
-    high = materialize(
-        features.ip_day_features(inputs.attempts).where(rules.selected()), "high_failure"
-    )
-    rows = selection.lsets(inputs.attempts, inputs.prefixes, inputs.mfa_log, high)
+    counts = features.metrics(inputs.attempts, "num_attempts", "num_successes")
+    failed = 1 - share(F.col("num_successes"), F.col("num_attempts"))
+    keys = counts.select(*features.IP_DAY, F.col("num_attempts").alias("NR"), failed.alias("FF"))
+    keys = keys.where(rules.selected()).select(*features.IP_DAY)
+    mine = inputs.attempts.join(keys, list(features.IP_DAY), "left_semi")
+    mine = materialize(mine.select(*selection.READ), "high_failure_attempts")
+    high = materialize(features.ip_day_features(mine).where(rules.selected()), "high_failure")
+    rows = selection.lsets(inputs.attempts, inputs.prefixes, inputs.mfa_log, high, mine)
     out = materialize(selection.filtered_lsets(rows, rules), "lsets")
     release(high)
+    release(mine)
     return out
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loginlab.functions import predicates, tweaks
-from loginlab.functions.columns import prior
+from loginlab.functions.columns import epoch_seconds, prior
 from loginlab.operators import (
+    agents,
     campaigns,
     clustering,
     detectors,
@@ -24,8 +25,8 @@ from loginlab.operators import (
 )
 from loginlab.plans import campaigns as plan
 from loginlab.sources import attempts as source
-from loginlab.sources import derived
-from loginlab.streaming import daily
+from loginlab.sources import backfill, derived, lookup
+from loginlab.streaming import daily, second_factor
 
 # a window, an IP, a user agent and a user used by the lookups
 START, END = "2024-01-03 00:00:00", "2024-01-09 12:00:00"
@@ -34,6 +35,7 @@ SOME_IPS = ["203.0.113.7", "203.0.113.1", "203.0.113.2", "128.104.0.3"]
 AGENT = "python-requests/2.31.0"
 USER = "u8"
 LINK_THRESHOLD = 0.3
+FOR_MFA = ["id", "username", "client_ip", "timestamp", "d", "result"]
 SLOW = {"min_users": 0.6, "max_success": 0.5}
 ATTACK_SIZE = {"attempts": 40, "users": 30, "passwords": 3}
 
@@ -142,6 +144,10 @@ def _log(fn) -> Query:
     return lambda spark, sf: present(fn(derived.attempts_table(spark, sf)))
 
 
+def _by_rules(fn) -> Query:
+    return _log(lambda attempts: fn(attempts, agents.rule_table(attempts.sparkSession)))
+
+
 def _sessions(kind, fn) -> Query:
     return lambda spark, sf: present(fn(derived.sessions(spark, sf, kind)))
 
@@ -235,6 +241,53 @@ def _refresh(spark, sf) -> DataFrame:
     return present(spark.read.parquet(f"{folder}/features").select("client_ip", "d", "NR", "NU"))
 
 
+def _mfa_stream(spark, sf) -> DataFrame:
+    """Both logs arrive in three parts; rows far in the future close what is open."""
+    folder = source.scratch_table(spark, "mfa")
+    mfa, log = derived.mfa_log(spark, sf), derived.attempts_table(spark, sf).select(*FOR_MFA)
+    half = log.agg(F.percentile_approx(epoch_seconds("timestamp"), 0.5)).scalar()
+    far = 4_000_000_000
+    end = F.lit("end")
+    last = spark.range(1)
+    parts = [
+        (mfa.where(F.col("timestamp") < half), log.where(epoch_seconds("timestamp") < half)),
+        (mfa.where(F.col("timestamp") >= half), log.where(epoch_seconds("timestamp") >= half)),
+        (
+            last.select(F.lit(-1).cast("long").alias("id"), end.alias("username"), F.lit(far).cast("long").alias("timestamp"), end.alias("result")),
+            log.limit(1).withColumns({"id": F.lit(-1).cast("long"), "username": end, "result": F.lit(1), "timestamp": F.lit("2096-10-02").cast("timestamp_ntz")}),
+        ),
+    ]
+    for events, attempts in parts:
+        for rows, name in ((events, "mfa"), (attempts, "log")):
+            rows.write.mode("append").parquet(f"{folder}/{name}")
+        streams = [spark.readStream.schema(r.schema).parquet(f"{folder}/{n}") for r, n in ((mfa, "mfa"), (log, "log"))]
+        found = second_factor.match_streams(*streams, late="1 day")
+        second_factor.store_matches(found, f"{folder}/matches", f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/matches").where("duo_id >= 0")
+    return present(found.select("duo_id", "username", "mfa_result", "date", "attempt_id"))
+
+
+def _backfilled(spark, sf) -> DataFrame:
+    folder = source.scratch_table(spark, "flags")
+
+    def compute(rows):
+        rows = flags.tweak_flags(flags.unique_password_flags(rows))
+        return rows.select("id", "d", "is_unique_pws_by_ip", "is_unique_pws_by_username", "is_tweaked")
+
+    for _ in range(2):  # the second run finds everything done
+        backfill.backfill(derived.attempts_path(spark, sf), folder, compute, spark)
+    return present(backfill.read_backfill(spark, folder).drop("d"))
+
+
+def _lookup_log(spark, sf) -> str:
+    def make():
+        path = source.scratch_table(spark, "lookup")
+        lookup.write_log(derived.attempts_table(spark, sf), path, rows_per_file=100_000)
+        return path
+
+    return _keep(spark, sf, "lookup", make)
+
+
 def _compare_ips(spark, sf) -> DataFrame:
     i = _inputs(spark, sf)
     mine = i.attempts.where(F.col("client_ip").isin(SOME_IPS))
@@ -385,6 +438,9 @@ QUERIES: dict[str, Query] = {
     "ua_dimension": _log(enrich.user_agent_dimension),
     "ua_counts": _log(enrich.user_agent_counts),
     "ua_vocabulary": _log(enrich.user_agent_vocabulary),
+    "ua_dimension_by_rules": _by_rules(agents.user_agent_dimension),
+    "ua_counts_by_rules": _by_rules(agents.user_agent_counts),
+    "ua_vocabulary_by_rules": _by_rules(agents.user_agent_vocabulary),
     "mfa_attempt_match": lambda spark, sf: present(
         enrich.mfa_attempt_matches(
             derived.mfa_log(spark, sf), derived.attempts_table(spark, sf)
@@ -625,4 +681,15 @@ QUERIES: dict[str, Query] = {
     # streaming
     "ip_day_features_stream": _stream,
     "ip_day_features_refresh": _refresh,
+    "mfa_attempt_match_stream": _mfa_stream,
+    # stored logs
+    "backfilled_flags": _backfilled,
+    "lookup_usernames_for_ip": lambda spark, sf: present(
+        investigate.usernames_for_ip(lookup.attempts_of_ip(spark, _lookup_log(spark, sf), HOT_IP))
+    ),
+    "lookup_result_codes_for_user": lambda spark, sf: present(
+        lookup.attempts_of_user(spark, _lookup_log(spark, sf), USER)
+        .groupBy("d", "result_code")
+        .agg(F.count("*").alias("attempts"))
+    ),
 }

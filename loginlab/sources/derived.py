@@ -156,6 +156,11 @@ def attempts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir)[1]
 
 
+def attempts_path(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of that table."""
+    return _table(spark, sf_dir)[0]
+
+
 def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table as a stream of its files."""
     path, log = _table(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loginlab.operators import enrich, selection, statistics
+from loginlab.operators import agents, enrich, selection, statistics
 from loginlab.operators.features import RESULT_CODES
 from loginlab.plans import catalog as c
 
@@ -211,6 +211,9 @@ O["prior_distances"] = full(
     "SELECT id, array_to_string(prior_ip, ',') AS prior FROM attempts WHERE prior_ip IS NOT NULL"
 )
 O["tweaked_pw_flag"] = plain(f"SELECT id, CAST({TWEAKED} AS INTEGER) AS is_tweaked FROM attempts")
+O["backfilled_flags"] = full(
+    f"SELECT id, is_unique_pws_by_ip, is_unique_pws_by_username, CAST({TWEAKED} AS INTEGER) AS is_tweaked FROM attempts"
+)
 HEURISTIC = """
 CASE WHEN len(ctm) > 1 THEN len(list_filter(ctm, lambda e: coalesce(e[1] <= 2, false))) ELSE 0 END AS heuristic_edit,
 CASE WHEN len(ctm) > 1 THEN len(list_filter(ctm, lambda e: coalesce(e[2] <= 0, false))) ELSE 0 END AS heuristic_strength,
@@ -469,6 +472,26 @@ O["ua_counts"] = with_(
     f"SELECT client_ip, {DAY}, os_json_cnt, app_json_cnt, browser_json_cnt FROM ua",
 )
 O["ua_vocabulary"] = with_(PLAIN + ", " + UA, "SELECT DISTINCT name FROM ua_n")
+RULED = {
+    kind: first_match([(p, f"'{n}'") for k, p, n, _ in agents.RULES if k == kind], f"'{other}'")
+    for kind, other in agents.MISSING.items()
+}
+RULED_VERSION = first_match(
+    [(p, f"regexp_extract(user_agent, '{v}', 1)" if v else "''") for k, p, _, v in agents.RULES if k == "browser"],
+    "''",
+)
+O["ua_dimension_by_rules"] = plain(
+    f"""SELECT DISTINCT user_agent, {RULED["os"]} AS os, {RULED["app"]} AS app, {RULED["browser"]} AS browser,
+    {RULED_VERSION} AS browser_version FROM attempts WHERE user_agent IS NOT NULL"""
+)
+RULED_NAMES = " UNION ALL ".join(
+    f"SELECT client_ip, d, '{k}' AS kind, {name} AS name FROM attempts WHERE user_agent IS NOT NULL"
+    for k, name in RULED.items()
+)
+O["ua_counts_by_rules"] = plain(
+    f"SELECT client_ip, {DAY}, kind, name, count(*) AS n FROM ({RULED_NAMES}) GROUP BY client_ip, d, kind, name"
+)
+O["ua_vocabulary_by_rules"] = plain(f"SELECT DISTINCT name FROM ({RULED_NAMES})")
 MFA = """mfa_log AS (SELECT id, username, sec + 1704067200 - 21600 + id % 481 - 240 AS at,
     CASE WHEN v % 5 = 0 THEN 'denied' WHEN v % 5 = 1 THEN 'fraud' ELSE 'success' END AS result
   FROM base WHERE result = 1 AND user_id % 2 = 0 AND id % 3 = 0 AND k >= 28),
@@ -482,6 +505,7 @@ O["mfa_attempt_match"] = with_(
     PLAIN + ", " + MFA,
     'SELECT duo_id, username, mfa_result, CAST("date" AS VARCHAR) AS "date", attempt_id FROM matches',
 )
+O["mfa_attempt_match_stream"] = O["mfa_attempt_match"]
 O["mfa_counts"] = with_(
     PLAIN + ", " + MFA,
     f"SELECT client_ip, {DAY}, success, denied, fraud, {DUO} AS duo_responses FROM mfa",
@@ -792,6 +816,12 @@ O["result_codes_for_user"] = plain(
     + ", ".join(f"""count(*) FILTER (result_code = '{x}') AS "{x}\"""" for x in RESULT_CODES)
     + " FROM attempts GROUP BY username"
 )
+O["lookup_usernames_for_ip"] = plain(
+    f"SELECT client_ip, username, count(*) AS attempts FROM attempts WHERE client_ip = '{c.HOT_IP}' GROUP BY client_ip, username"
+)
+O["lookup_result_codes_for_user"] = plain(
+    f"SELECT {DAY}, result_code, count(*) AS attempts FROM attempts WHERE username = '{c.USER}' GROUP BY d, result_code"
+)
 O["unsuccessful_ips_for_user"] = plain(
     "SELECT username, count(DISTINCT CASE WHEN result = 0 THEN client_ip END) AS unsuccessful_ips FROM attempts GROUP BY username"
 )
