@@ -40,6 +40,18 @@ def per_process(key, make):
     return _kept[key]
 
 
+BATCH_BYTES = 4 * 2**20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of at most about BATCH_BYTES (or fewer, if it has
+    a smaller bound): 10,000 long texts at once would take several buffers of that size in both processes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).removesuffix("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def trimmed(run):
     """A step of ``mapInArrow`` that gives back the memory of its task at the end, before the
     process waits for another step of another operator."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loginlab.llm.common import per_process, table, trimmed
+from loginlab.llm.common import per_process, small_batches, table, trimmed
 
 PER_LANGUAGE = 200
 MOST_BYTES = 8192
@@ -318,6 +318,7 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") ->
 def identify(docs: DataFrame, model: Model, text_col="text", names=("lang_pred", "score"), keep_text=False) -> DataFrame:
     """``docs`` with the language and the score in columns called ``names``, without its text
     unless ``keep_text``."""
+    small_batches(docs.sparkSession)
     kept_ = [f for f in docs.schema if f.name not in names and (keep_text or f.name != text_col)]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loginlab.llm.common import kept, per_process, table, trimmed
+from loginlab.llm.common import kept, per_process, small_batches, table, trimmed
 from loginlab.llm.graph import components
 
 WORDS = 5
@@ -262,6 +262,7 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 def links(docs: DataFrame, threshold=THRESHOLD, recall=RECALL, id_col="doc_id", text_col="text") -> DataFrame:
     """⟨id, class_id, set_id, n_copies, n_links⟩ per row of ``docs``, ``set_key``, the digest of
     its shingles, and ``class_key``, a number that no other class has."""
+    small_batches(docs.sparkSession)
     runs = runs_for(recall)
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

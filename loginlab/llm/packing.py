@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loginlab.llm.common import TOKENIZER_FOLDER, kept, per_process, table
+from loginlab.llm.common import TOKENIZER_FOLDER, kept, per_process, small_batches, table, trimmed
 
 CAPACITY = 2048
 END_ID = 0
-MOST_WORDS = 400_000  # encoded words, and runs of them, kept by one process
+MOST_WORDS, LONGEST = 150_000, 64  # encoded words, and runs of them, kept by one process; characters of one
 SEPARATORS = re.compile("[\\x1c-\\x1f]")  # Python takes them for white space, Unicode does not
 RANKED_TOGETHER = 50_000  # rows of one length that one task puts in order
 
@@ -37,9 +37,11 @@ class Memory(dict):
         self.make = make
 
     def __missing__(self, key):
-        if len(self) > MOST_WORDS:
-            self.clear()
-        found = self[key] = self.make(key)
+        found = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) > MOST_WORDS:
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -92,10 +94,12 @@ def token_pieces(
 ) -> DataFrame:
     """⟨id, piece, start, length, ids⟩: every document's ids and the end token, in pieces of
     ``capacity``; ids are little-endian unsigned 32-bit integers in a binary column."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("words", path), lambda: WordEncoder(path))
         for batch in batches:
