@@ -54,14 +54,18 @@ def connecting_ips(
     )
 
 
+HEAVY = 1000  # IPs of a username from which it is not paired IP by IP
+
+
 def ip_reachability(
-    attempts: DataFrame, ip: str, min_attempts: int = 100, max_ratio: float = 0.1
+    attempts: DataFrame, ip: str, min_attempts: int = 100, max_ratio: float = 0.1, heavy_from: int = HEAVY
 ) -> DataFrame:
     """IPs reachable from ``ip`` by following :func:`connecting_ips`, with the hop
     at which each was reached.
 
     Only IPs with enough attempts overall can be reached, so the others are left
-    out first. Each round looks at new IPs only and is written out.
+    out first. Each round looks at new IPs only and is written out. Usernames tried from more than
+    ``heavy_from`` IPs give no row per pair of IPs: IPs that share the same of them are looked at as one.
     """
     spark = attempts.sparkSession
     pairs = materialize(_ip_users(attempts), "ip_users")
@@ -69,6 +73,9 @@ def ip_reachability(
     targets = materialize(
         pairs.join(large.select("client_ip"), "client_ip", "left_semi"), "targets"
     )
+    heavy = pairs.groupBy("username").agg(F.count("*").alias("n")).where(F.col("n") > heavy_from)
+    heavy = materialize(heavy.select("username"), "heavy")
+    some_heavy = not heavy.isEmpty()
     visited = spark.createDataFrame([(ip, 0)], "client_ip string, hop int")
     frontier, hop = visited.select("client_ip"), 0
     while True:
@@ -85,12 +92,10 @@ def ip_reachability(
             .where(F.col("c") >= min_attempts)
             .select("client_ip")
         )
+        unseen = unseen.join(possible, "client_ip", "left_semi")
+        sums = _shared_sums(unseen, names, heavy) if some_heavy else _pair_sums(unseen, names)
         found = (
-            unseen.join(possible, "client_ip", "left_semi")
-            .join(names, "username")
-            .groupBy("source", "client_ip")
-            .agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-            .where(F.col("c") >= min_attempts)
+            sums.where(F.col("c") >= min_attempts)
             .where(share(F.col("s"), F.col("c")) <= max_ratio)
             .select("client_ip")
             .distinct()
@@ -102,6 +107,47 @@ def ip_reachability(
         frontier = found
 
 
+def _pair_sums(targets: DataFrame, names: DataFrame) -> DataFrame:
+    """Attempts ``c`` and successes ``s`` of every target on the names of each source, as far as they share any."""
+    return (
+        targets.join(names, "username")
+        .groupBy("source", "client_ip")
+        .agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    )
+
+
+def _shared_sums(targets: DataFrame, names: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The different values of :func:`_pair_sums` for each target.
+
+    What two IPs share of heavy names depends on the set of heavy names of the source only, so it is summed once for
+    every such set. Pairs that share light names are listed and get the sum of their set added. A target has the sum
+    of a set alone if more sources have the set than share light names with it.
+    """
+    is_heavy = lambda df, how: df.join(heavy, "username", how)
+    of_source = materialize(is_heavy(names, "left_semi"), "heavy_names")
+    # a set is recognised by its size and two sums of hashes
+    hashes = [F.xxhash64("username", F.lit(k)).cast("decimal(20,0)") for k in range(2)]
+    sets = of_source.groupBy("source").agg(
+        F.struct(F.count("*").alias("n"), *[F.sum(h).alias(f"h{k}") for k, h in enumerate(hashes)]).alias("set")
+    )
+    sets = materialize(sets, "sets")
+    kinds = sets.groupBy("set").agg(F.min("source").alias("source"), F.count("*").alias("sources"))
+    in_set = of_source.join(kinds, "source").select("set", "username")
+    by_set = is_heavy(targets, "left_semi").join(in_set, "username").groupBy("set", "client_ip")
+    by_set = by_set.agg(F.sum("c").alias("hc"), F.sum("s").alias("hs"))
+    by_set = materialize(by_set.join(kinds.select("set", "sources"), "set"), "by_set")
+    light = _pair_sums(is_heavy(targets, "left_anti"), is_heavy(names, "left_anti"))
+    light = materialize(light.join(sets, "source", "left"), "light")
+    both = light.join(by_set, ["set", "client_ip"], "left").select(
+        "client_ip",
+        (F.col("c") + F.coalesce("hc", F.lit(0))).alias("c"),
+        (F.col("s") + F.coalesce("hs", F.lit(0))).alias("s"),
+    )
+    met = light.where("set IS NOT NULL").groupBy("set", "client_ip").agg(F.count("*").alias("met"))
+    alone = by_set.join(met, ["set", "client_ip"], "left").where(F.col("sources") > F.coalesce("met", F.lit(0)))
+    return both.unionByName(alone.select("client_ip", F.col("hc").alias("c"), F.col("hs").alias("s")))
+
+
 def user_last_distances(attempts: DataFrame) -> DataFrame:
     """For users with several attempts from an IP on a day: the distances of the
     last one."""

@@ -19,6 +19,7 @@ from loginlab.operators import (
     flags,
     investigate,
     pairs,
+    partials,
     selection,
     sessions,
     statistics,
@@ -26,7 +27,7 @@ from loginlab.operators import (
 from loginlab.plans import campaigns as plan
 from loginlab.sources import attempts as source
 from loginlab.sources import backfill, derived, lookup
-from loginlab.streaming import daily, second_factor
+from loginlab.streaming import daily, second_factor, stuffing
 
 # a window, an IP, a user agent and a user used by the lookups
 START, END = "2024-01-03 00:00:00", "2024-01-09 12:00:00"
@@ -267,6 +268,26 @@ def _mfa_stream(spark, sf) -> DataFrame:
     return present(found.select("duo_id", "username", "mfa_result", "date", "attempt_id"))
 
 
+def _stuffing_stream(spark, sf) -> DataFrame:
+    """The log arrives in two halves; an attempt far in the future ends what waits."""
+    folder = source.scratch_table(spark, "stuffing")
+    log = derived.attempts_table(spark, sf).select(*FOR_MFA, "user_agent", "password_appeared_in_breach")
+    half = log.agg(F.percentile_approx(epoch_seconds("timestamp"), 0.5)).scalar()
+    last = {"id": F.lit(-1).cast("long"), "username": F.lit("end"), "timestamp": F.lit("2096-10-02").cast("timestamp_ntz")}
+    before = epoch_seconds("timestamp") < half
+    for rows in (log.where(before), log.where(~before), log.limit(1).withColumns(last)):
+        rows.write.mode("append").parquet(f"{folder}/log")
+        arriving = spark.readStream.schema(log.schema).parquet(f"{folder}/log")
+        stuffing.store(
+            stuffing.first_uses(arriving, "1 day"), f"{folder}/uses", f"{folder}/uses-state", "append"
+        ).awaitTermination()
+        stuffing.store(
+            stuffing.user_totals(arriving), f"{folder}/totals", f"{folder}/totals-state", "update"
+        ).awaitTermination()
+    scores = stuffing.current_scores(spark.read.parquet(f"{folder}/uses"), spark.read.parquet(f"{folder}/totals"))
+    return present(scores.groupBy("score").agg(F.count("*").alias("n")))
+
+
 def _backfilled(spark, sf) -> DataFrame:
     folder = source.scratch_table(spark, "flags")
 
@@ -279,6 +300,17 @@ def _backfilled(spark, sf) -> DataFrame:
     return present(backfill.read_backfill(spark, folder).drop("d"))
 
 
+def _partials(fn, make=partials.daily) -> Query:
+    """A figure of the whole period from stored daily partials."""
+
+    def stored(spark, sf):
+        path = source.scratch_table(spark, "partials")
+        backfill.backfill(derived.attempts_path(spark, sf), path, make, spark, days_at_once=400)
+        return backfill.read_backfill(spark, path)
+
+    return lambda spark, sf: present(fn(_keep(spark, sf, make.__name__, lambda: stored(spark, sf))))
+
+
 def _lookup_log(spark, sf) -> str:
     def make():
         path = source.scratch_table(spark, "lookup")
@@ -682,8 +714,14 @@ QUERIES: dict[str, Query] = {
     "ip_day_features_stream": _stream,
     "ip_day_features_refresh": _refresh,
     "mfa_attempt_match_stream": _mfa_stream,
+    "cred_stuffing_score_stream": _stuffing_stream,
     # stored logs
     "backfilled_flags": _backfilled,
+    "statistics_from_partials": _partials(partials.period_statistics),
+    "averages_from_partials": _partials(partials.period_averages),
+    "quantiles_from_partials": _partials(partials.period_quantiles),
+    "distinct_from_partials": _partials(partials.period_distinct),
+    "ip_users_from_partials": _partials(partials.period_users_by_ip, partials.daily_by_ip),
     "lookup_usernames_for_ip": lambda spark, sf: present(
         investigate.usernames_for_ip(lookup.attempts_of_ip(spark, _lookup_log(spark, sf), HOT_IP))
     ),

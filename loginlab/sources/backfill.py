@@ -93,7 +93,7 @@ def backfill(
         run = uuid.uuid4().hex
         rows = spark.read.parquet(log_path).where(F.col("d").isin([F.lit(d).cast("date") for d in days]))
         result = compute(rows).withColumn("day", F.col("d").cast("string"))
-        result.repartition("day", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("day").parquet(f"{path}/data/{run}")
+        result.repartition("day", F.pmod(F.xxhash64(result.columns[0]), F.lit(8))).write.partitionBy("day").parquet(f"{path}/data/{run}")
         for d in days:
             number = done.get(d, {}).get("entry", 0) + 1
             entry = {"folder": f"{run}/day={d}", "source": source[d]}

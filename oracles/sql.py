@@ -749,6 +749,23 @@ UD = "SELECT username, d, count(*) AS n FROM attempts GROUP BY username, d"
 O["avg_attempts_per_user_day"] = plain(f"SELECT {r6('avg(n)', 'avg_attempts')} FROM ({UD})")
 
 
+# the sketches of so few values are exact
+O["statistics_from_partials"] = O["attempt_statistics"]
+UDF = """SELECT username, d, count(*) AS n, count(DISTINCT client_ip) AS ips,
+  count(DISTINCT client_ip || '|' || coalesce('x' || user_agent, '')) AS pairs FROM attempts GROUP BY username, d"""
+O["averages_from_partials"] = plain(
+    f"SELECT {r6('avg(n)', 'avg_attempts')}, {r6('avg(ips)', 'avg_unique_ips')}, {r6('avg(pairs)', 'avg_ip_agent_pairs')} FROM ({UDF})"
+)
+O["distinct_from_partials"] = plain(
+    """SELECT count(DISTINCT username) AS users, count(DISTINCT CASE WHEN result = 1 THEN username END) AS successful_users,
+    count(DISTINCT client_ip) AS ips FROM attempts"""
+)
+O["ip_users_from_partials"] = plain(
+    """SELECT client_ip, count(*) AS attempts, CAST(sum(result) AS BIGINT) AS successes, count(DISTINCT username) AS users
+    FROM attempts GROUP BY client_ip"""
+)
+
+
 def p99(source: str, col: str) -> str:
     return f"""SELECT CAST(v AS DOUBLE) AS p99 FROM (SELECT {col} AS v, row_number() OVER (ORDER BY {col} DESC) AS rn, count(*) OVER () AS n FROM {source})
     WHERE rn = 1 + CAST(floor((n - 1) * 0.01) AS BIGINT)"""
@@ -886,6 +903,7 @@ O["cred_stuffing_score"] = plain(
       + CASE WHEN user_agent IS NULL THEN 2 WHEN coalesce(ua_ok, 0) = 0 THEN 1 ELSE 0 END + CASE WHEN ok = 1 THEN 0 ELSE 2 END AS score
       FROM w JOIN u USING (username) WHERE password_appeared_in_breach = 1) GROUP BY score"""
 )
+O["cred_stuffing_score_stream"] = O["cred_stuffing_score"]
 
 
 def top(key: str, at_least: int, most: float, order: str) -> str:

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loginlab.operators import enrich, flags
+from loginlab.operators import detectors, enrich, flags
 from loginlab.sources import backfill, lookup
-from loginlab.streaming import second_factor
+from loginlab.streaming import second_factor, stuffing
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +122,47 @@ def test_second_factor_on_shuffled_batches(spark, log, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).where("duo_id >= 0")
     assert sorted(map(str, got.select("duo_id", "attempt_id", "client_ip", "mfa_result").collect())) == want
     assert any("attempt_id=None" in w for w in want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stuffing_scores_on_shuffled_batches(spark, log, tmp_path, seed):
+    """Equal to the scores of the whole log, over several runs that each start from the stored state."""
+    r = random.Random(seed)
+    attempts = [
+        {"id": i, "at": r.randrange(3) * 3600 + r.choice([r.randrange(5), r.randrange(3600)]), "username": r.choice(["hot", "hot", "a", "b", "c"]),
+         "client_ip": f"10.0.0.{r.randrange(5)}", "user_agent": r.choice([None, "x", "y", "z"]), "result": int(r.random() < 0.15),
+         "password_appeared_in_breach": int(r.random() < 0.4)} for i in range(300)
+    ]
+    columns = ["id", "username", "client_ip", "timestamp", "d", "result", "user_agent", "password_appeared_in_breach"]
+    rows = log(attempts).select(*columns)
+    want = sorted(map(tuple, detectors.stuffing_scores(rows).select("id", "username", "score").collect()))
+    end = log([{"id": -1, "username": "end", "at": 10**8}]).select(*columns)
+    # an attempt comes with the part of its hour or with the next one
+    hour = F.floor((F.unix_timestamp(F.col("timestamp").cast("timestamp")) - 1704067200) / 3600) + F.pmod(F.xxhash64("id"), F.lit(2))
+    for part in [*(rows.where(hour == k) for k in range(4)), end]:
+        part.repartition(1).write.mode("append").parquet(str(tmp_path / "log"))
+        arriving = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log"))
+        for made, name, mode in ((stuffing.first_uses(arriving, "3 hours"), "uses", "append"), (stuffing.user_totals(arriving), "totals", "update")):
+            stuffing.store(made, str(tmp_path / name), str(tmp_path / f"{name}-state"), mode).awaitTermination()
+    uses, totals = (spark.read.parquet(str(tmp_path / n)) for n in ("uses", "totals"))
+    got = sorted(map(tuple, stuffing.current_scores(uses, totals).select("id", "username", "score").collect()))
+    assert got == want and len({s for _, _, s in want}) > 2
+
+
+def test_idle_state_is_cleared(spark, log, tmp_path):
+    one = {"username": "a", "client_ip": "1.1.1.1", "user_agent": "x", "password_appeared_in_breach": 1}
+    parts = [
+        [one | {"id": 1, "at": 0, "result": 1}],
+        [one | {"id": 2, "at": 86400, "result": 0}],
+        [one | {"id": 3, "at": 40 * 86400, "result": 0, "username": "other"}],
+        [one | {"id": 4, "at": 60 * 86400, "result": 0}],
+        [one | {"id": 5, "at": 90 * 86400, "result": 0, "username": "end"}],
+    ]
+    for part in parts:
+        log(part).write.mode("append").parquet(str(tmp_path / "log"))
+        arriving = spark.readStream.schema(log(part).schema).parquet(str(tmp_path / "log"))
+        uses = stuffing.first_uses(arriving, "1 hour", idle_days=10)
+        stuffing.store(uses, str(tmp_path / "uses"), str(tmp_path / "state"), "append").awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "uses")).where("username = 'a'").collect()
+    # after ten idle days the success of the first day is forgotten
+    assert {(r.id, r.kind): r.is_new for r in found} == {(n, k): n in (1, 4) for n in (1, 2, 4) for k in ("ip", "agent")}
