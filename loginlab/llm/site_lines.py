@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loginlab.llm.common import kept, table
 
 RATIO = 0.3
-MIN_PAGES = 3
+MIN_PAGES = 2  # what stands on one page only is no boilerplate
 SALTS = 32  # parts of a host's lines, and of a line's pages, in the joins
 
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"

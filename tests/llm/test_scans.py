@@ -100,6 +100,13 @@ def test_site_lines_ratio_is_exclusive(spark):
     assert site_lines.drop_lines(pages.where("false")).count() == 0
 
 
+def test_lines_of_hosts_with_two_pages(spark):
+    rows = [(1, "two", ["nav", "a", "a"]), (2, "two", ["nav", "b"]), (3, "one", ["nav"])]
+    pages = spark.createDataFrame(rows, "id long, host string, lines array<string>")
+    got = {r.id: (r.text, r.n_dropped) for r in site_lines.drop_lines(pages).collect()}
+    assert got == {1: ("a\na", 1), 2: ("b", 1), 3: ("nav", 0)}
+
+
 @pytest.fixture(scope="module")
 def licensed(spark, tmp_path_factory, odd_documents):
     mit, apache = licenses.TEMPLATES[0][1], licenses.TEMPLATES[1][1]
