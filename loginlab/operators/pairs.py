@@ -343,7 +343,8 @@ def _with_usernames(candidates, usernames, passwords) -> DataFrame:
 
 def minmax_by_column(pairs: DataFrame, lsets: DataFrame, max_distance: float) -> DataFrame:
     """The distances seen from each row ``j``, scaled to [0, 1] by the largest one
-    in its column. Pairs that are not listed count with ``max_distance``."""
+    in its column. Pairs that are not listed are at least ``max_distance`` apart and count with it, so a
+    column with such pairs is scaled by ``max_distance``, not by its true largest distance."""
     both = pairs.select("i", "j", "dist").unionByName(
         pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist")
     )
