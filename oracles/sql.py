@@ -678,6 +678,36 @@ O["merge_history"] = with_(
 FROM merges m JOIN assigned s ON s.step = m.step AND s.cluster IN (m.a, m.b) GROUP BY m.a, m.b, m.height""",
 )
 
+# the knee: a polynomial of degree 7 from power sums, its normal equations solved by elimination, and the first peak of
+# the difference to the diagonal, looked for on a fine grid from the greatest height downwards
+_GRID = 20_000
+KNEE = f""",
+ranks AS (SELECT height, count(*) AS cnt, min(r) AS lo, max(r) AS hi FROM (
+  SELECT height, row_number() OVER (ORDER BY height) - 1 AS r FROM merges) GROUP BY height),
+ends AS (SELECT min(height) AS low, max(height) AS high, CAST(sum(cnt) AS BIGINT) AS n FROM ranks),
+points AS (SELECT height, lo, cnt, (height - low) / (high - low) AS u, n - 1 - (lo + hi) / 2.0 AS y FROM ranks, ends WHERE n >= 3 AND high > low),
+powers AS (SELECT k, sum(cnt * pow(u, k)) AS m, sum(cnt * pow(u, k) * y) AS b FROM points, (SELECT unnest(range(15)) AS k) GROUP BY k),
+equations AS (SELECT i, list(m ORDER BY j) AS terms FROM (
+  SELECT i, j, m FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j), powers WHERE k = i + j
+  UNION ALL SELECT k, 8, b FROM powers WHERE k < 8) GROUP BY i),
+steps AS (
+  SELECT 1 AS k, list(terms ORDER BY i) AS a FROM equations
+  UNION ALL
+  SELECT k + 1, [CASE WHEN i = k THEN a[i] ELSE [a[i][j] - a[k][j] * a[i][k] / a[k][k] FOR j IN range(1, 10)] END FOR i IN range(1, 9)]
+  FROM steps WHERE k <= 8),
+curve AS (SELECT g / {_GRID}.0 AS x, list_sum([a[i][9] / a[i][i] * pow(g / {_GRID}.0, i - 1) FOR i IN range(1, 9)]) AS f
+  FROM steps, (SELECT unnest(range({_GRID} + 1)) AS g) WHERE k = 9),
+gap AS (SELECT x, (max(f) OVER () - f) / (max(f) OVER () - min(f) OVER ()) - x AS d FROM curve),
+around AS (SELECT x, d, lag(d) OVER w AS p, lead(d) OVER w AS q FROM gap WINDOW w AS (ORDER BY x DESC)),
+stops AS (SELECT x, d, lag(d) OVER w AS p, lead(d) OVER w AS q FROM around
+  WHERE p IS NULL OR q IS NULL OR (d > p AND d >= q) OR (d <= p AND d < q) WINDOW w AS (ORDER BY x DESC)),
+knee AS (SELECT max(x) AS x FROM stops, ends WHERE d > p AND q < d - 1.0 / (n - 1))"""
+O["cut_threshold"] = with_(
+    linkage(0.4) + KNEE,
+    """SELECT round(t.h, 6) AS threshold, (SELECT count(*) FROM kept) - t.lo AS clusters
+FROM (SELECT min({'gap': abs(u - x), 'h': height, 'lo': lo}) AS t FROM points, knee WHERE x IS NOT NULL) WHERE t IS NOT NULL""",
+)
+
 # ---- campaigns -----------------------------------------------------------------------------
 LINKED = (
     PAIRS.replace("ev AS (", "RECURSIVE ev AS (", 1).lstrip()
@@ -1065,6 +1095,33 @@ O["short_case_study"] = plain(
     {r6("CAST(max(sec) - min(sec) AS DOUBLE) / count(*)", "ave_interarrival")}, (SELECT count(*) FROM ({CONNECTING})) AS num_connecting_ips
     FROM attempts WHERE client_ip = '{c.HOT_IP}' GROUP BY client_ip"""
 )
+_ONE_IP = f"FROM labels WHERE client_ip = '{c.HOT_IP}'"
+_FIGURES = {
+    **{
+        n: METRIC[n]
+        for n in (
+            "num_attempts", "num_successes", "num_successes_in_breach", "num_unique_usernames", "num_unique_usernames_success",
+            "num_password_in_breach", "num_pair_in_breach", "num_password_in_hashcat", "null_user_agents",
+        )
+    },
+    "first_seen": """strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S')""",
+    "last_seen": """strftime(max("timestamp"), '%Y-%m-%d %H:%M:%S')""",
+    "ave_interarrival": "CAST(max(sec) - min(sec) AS DOUBLE) / count(*)",
+}
+_ROWS = [f"SELECT '{n}' AS figure, '' AS detail, CAST({v} AS VARCHAR) AS value {_ONE_IP}" for n, v in _FIGURES.items()]
+_ROWS += [
+    f"""SELECT 'common_user_agent', '', (SELECT user_agent FROM (SELECT user_agent, count(*) AS n {_ONE_IP} GROUP BY user_agent)
+      ORDER BY n DESC, user_agent DESC NULLS LAST LIMIT 1)""",
+    f"SELECT 'num_connecting_ips', '', CAST(count(*) AS VARCHAR) FROM ({CONNECTING})",
+    *[f"SELECT '{n}', '', {n} FROM nets WHERE client_ip = '{c.HOT_IP}'" for n in enrich.NETWORK_COLUMNS],
+    f"SELECT 'connecting_ip', client_ip, CAST(attempts AS VARCHAR) FROM ({CONNECTING})",
+    f"SELECT 'username', username, CAST(count(*) AS VARCHAR) {_ONE_IP} GROUP BY username",
+    f"SELECT 'password', CAST(d AS VARCHAR) || ' ' || slot || ' ' || username, label {_ONE_IP}",
+    f"""SELECT 'last_distances', CAST(d AS VARCHAR) || ' ' || username, array_to_string(coalesce(dist_username, []), ',') FROM (
+      SELECT *, row_number() OVER (PARTITION BY d, username ORDER BY "timestamp" DESC, id DESC) AS rn, count(*) OVER (PARTITION BY d, username) AS n
+      {_ONE_IP}) WHERE rn = 1 AND n > 1""",
+]
+O["case_study"] = with_(BY_IP + ", " + NETS, " UNION ALL ".join(_ROWS))
 O["investigate_username"] = plain(
     f"""SELECT username, {DAY}, count(DISTINCT pw) AS distinct_passwords, count(*) AS total_passwords,
       (SELECT count(*) FROM attempts WHERE username = '{c.USER}' AND len(ctm) > 1) AS tweak_total,
