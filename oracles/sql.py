@@ -759,6 +759,20 @@ O["attack_campaigns"] = with_(
     f"""SELECT cluster_id, "NR", "NU", "AUPPU" FROM ({STATS})
     WHERE "NR" >= {_A["attempts"]} OR "NU" >= {_A["users"]} OR "AUPPU" > {_A["passwords"]}""",
 )
+# the whole run: linkage cut at the knee, or at the limit if there is none
+CUT = (
+    linkage(0.4)
+    + KNEE
+    + """,
+cut AS (SELECT coalesce((SELECT min({'gap': abs(u - x), 'h': height, 'lo': lo}).h FROM points, knee WHERE x IS NOT NULL), 0.4) AS h),
+members AS (SELECT id, cluster AS cluster_id FROM assigned WHERE step = (SELECT count(*) FROM merges, cut WHERE height < h)),"""
+    + LINKED[LINKED.index("labelled AS (") - 1 :]
+)
+O["find_campaigns"] = with_(
+    CUT,
+    f"""SELECT * FROM ({STATS})
+    WHERE "NR" >= {_A["attempts"]} OR "NU" >= {_A["users"]} OR "AUPPU" > {_A["passwords"]}""",
+)
 O["write_results"] = with_(
     LINKED,
     "SELECT id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS num_lsets FROM labelled",
