@@ -16,7 +16,8 @@ listed each; ties go to the smaller id. Repeated rows count once. Rows with the
 neighbours. Other columns are ignored. An empty table gives an empty result.
 
 Centroids are fitted on at most ``TRAINED_ON`` vectors and the number of probed lists on at most
-``TUNED_ON`` queries against all vectors; every vector is indexed.
+``TUNED_ON`` queries against all vectors; every vector is indexed. A query probes further lists until they hold as
+many vectors as it wants.
 """
 
 from __future__ import annotations
@@ -78,11 +79,18 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)
 
 
+def _closest(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each point, some thousand distances at a time."""
+    step = max(1, 2_000_000 // len(centre))
+    parts = [_squares(points[a : a + step], centre).argmin(1) for a in range(0, len(points), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def centroids(points: np.ndarray, n: int, rounds=12) -> np.ndarray:
     rng = np.random.default_rng(11)
     centre = points[rng.choice(len(points), min(n, len(points)), replace=False)]
     for _ in range(rounds):
-        near = _squares(points, centre).argmin(1)
+        near = _closest(points, centre)
         total = np.zeros_like(centre)
         np.add.at(total, near, points)
         count = np.bincount(near, minlength=len(centre))[:, None]
@@ -133,7 +141,7 @@ def _blocks(column: Column, counts: dict[int, int], size: int) -> Column:
 
 def _meet(queries: DataFrame, index: DataFrame, space: Space, wanted: int) -> DataFrame:
     """⟨q, cid, score, bound⟩: each query's best in each group of its lists' blocks. ``queries``
-    has q, vector, list and bound; ``index`` cid, vector and list."""
+    has q, vector, list and bound; ``index`` cid, least (its smallest id), vector and list."""
     asked = {r[0]: r[1] for r in queries.groupBy("list").count().collect()}  # at most MOST_LISTS rows
     there = {r[0]: r[1] for r in index.groupBy("list").count().collect()}
     q_blocks, v_blocks = _blocks(F.col("list"), asked, QUERIES), _blocks(F.col("list"), there, VECTORS)
@@ -150,7 +158,7 @@ def _meet(queries: DataFrame, index: DataFrame, space: Space, wanted: int) -> Da
         )
         score = np.einsum("ij,ij->i", raw_q[q], raw_v[p])
         cid = b["cid"].to_numpy()[p]
-        order = np.lexsort((cid, -score, q))
+        order = np.lexsort((b["least"].to_numpy()[p], -score, q))
         q, cid, score = q[order], cid[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         q, cid, score = q[place < wanted], cid[place < wanted], score[place < wanted]
@@ -192,29 +200,40 @@ def neighbours(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = _squares(space.points(_same(batch["vector"])), centre).argmin(1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["cid"], batch["vector"], pa.array(near)], ["cid", "vector", "list"])
+                near = _closest(space.points(_same(batch["vector"])), centre).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[c] for c in ("cid", "least", "vector")), pa.array(near)], ["cid", "least", "vector", "list"]
+                )
 
-    index = kept(classes.select("cid", "vector").mapInArrow(assign, "cid long, vector array<double>, list int"))
+    numbered = classes.select("cid", F.col("ids")[0].alias("least"), "vector")
+    index = kept(numbered.mapInArrow(assign, "cid long, least long, vector array<double>, list int"))
+    sizes = np.zeros(len(centre), np.int64)
+    for n, size in index.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        sizes[n] = size
     queries = classes.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi")
     queries = kept(queries.select(F.col("cid").alias("q"), "vector"))
     probes = _probes(index, queries, space, centre, wanted, recall)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            step = max(1, 2_000_000 // len(centre))
+            for batch in (whole.slice(a, step) for a in range(0, whole.num_rows, step)):
                 far = _squares(space.queries(_same(batch["vector"])), centre)
-                near = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                near = np.argsort(far, axis=1, kind="stable").astype(np.int32)
+                # more lists where the nearest ones are too small
+                enough = (np.cumsum(sizes[near], axis=1) < wanted).sum(1) + 1
+                lists = [row[: max(probes, n)] for row, n in zip(near, enough)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["q"], batch["vector"], pa.array(near.tolist(), pa.list_(pa.int32()))], ["q", "vector", "lists"]
+                    [batch["q"], batch["vector"], pa.array(lists, pa.list_(pa.int32()))], ["q", "vector", "lists"]
                 )
 
     probed = kept(queries.mapInArrow(probe, "q long, vector array<double>, lists array<int>"))
     home = probed.select("q", "vector", F.col("lists")[0].alias("list"), F.lit(None).cast("double").alias("bound"))
     near = kept(_meet(home, index, space, wanted))
     bounds = near.groupBy("q").agg(F.min("bound").alias("bound"))
-    away = probed.select("q", "vector", F.explode(F.slice("lists", 2, max(probes, 1))).alias("list")).join(bounds, "q", "left")
-    found = near.unionByName(_meet(away, index, space, wanted)) if probes > 1 else near
+    away = probed.select("q", "vector", F.explode(F.slice("lists", 2, len(centre))).alias("list")).join(bounds, "q", "left")
+    more = probes > 1 or not away.isEmpty()
+    found = near.unionByName(_meet(away, index, space, wanted)) if more else near
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "least")
     listed = found.join(classes.select("cid", "ids", F.col("ids")[0].alias("least")), "cid")

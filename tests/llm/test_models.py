@@ -68,6 +68,17 @@ def test_one_list_is_exact_with_ties(spark, vectors):
             assert got == [v for v, _ in best(plain, n, 30)]
 
 
+def test_small_lists_are_topped_up(spark, monkeypatch):
+    """One probe only, and groups with fewer vectors than are wanted."""
+    monkeypatch.setattr(nearest, "_probes", lambda *_: 1)
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in np.eye(8)[k % 4] * 9 + rng.standard_normal(8) * 0.01]) for k in range(24)]
+    rows += [(100 + k, [float(x) for x in rng.standard_normal(8)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    found = nearest.neighbours(df, F.col("id") % 20 == 0, 20, list_size=10).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in found} == {i: 20 for i, _ in rows if i % 20 == 0}
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0])], "id long, vector array<double>")
     found = nearest.neighbours(df, F.col("id") % 20 == 0, 20).orderBy("rank").collect()
