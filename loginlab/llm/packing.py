@@ -27,7 +27,7 @@ from loginlab.llm.common import TOKENIZER_FOLDER, kept, per_process, small_batch
 
 CAPACITY = 2048
 END_ID = 0
-MOST_WORDS, LONGEST = 150_000, 64  # encoded words, and runs of them, kept by one process; characters of one
+MOST_WORDS, LONGEST = 400_000, 64  # encoded words, and runs of them, kept by one process; characters of one
 SEPARATORS = re.compile("[\\x1c-\\x1f]")  # Python takes them for white space, Unicode does not
 RANKED_TOGETHER = 50_000  # rows of one length that one task puts in order
 
