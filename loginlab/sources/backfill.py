@@ -4,7 +4,7 @@ The columns of a day are written to a folder of the run first. Only when they ar
 of the manifest names that folder as the one in force, together with a fingerprint of the day's files in the
 log. A day whose fingerprint is in the manifest is done: a repeated run passes over it, a stopped run goes on
 with the days that are left, and a day whose files have changed is computed again. Readers see the folders in
-force and nothing else.
+force and nothing else. A log partitioned by ``month`` instead of ``d`` is taken month by month in the same way.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAYS_AT_ONCE = 31
+# what a log may be partitioned by, from its days
+PARTS = {"d": lambda: F.col("d").cast("string"), "month": lambda: F.date_format("d", "yyyy-MM")}
 
 
 class Folder:
@@ -67,10 +69,14 @@ def manifest(spark: SparkSession, path: str) -> dict[str, dict]:
     return out
 
 
-def _fingerprints(spark: SparkSession, log_path: str) -> dict[str, str]:
+def _fingerprints(spark: SparkSession, log_path: str) -> tuple[str, dict[str, str]]:
+    """The column that the log is partitioned by, and a fingerprint for each of its values."""
     log = Folder(spark, log_path)
-    days = [n.removeprefix("d=") for n, _, _ in log.names() if n.startswith("d=")]
-    return {d: hashlib.sha256(json.dumps(log.names(f"d={d}")).encode()).hexdigest() for d in days}
+    folders = [n for n, _, _ in log.names() if n.split("=")[0] in PARTS]
+    part = folders[0].split("=")[0] if folders else "d"
+    return part, {
+        n.removeprefix(f"{part}="): hashlib.sha256(json.dumps(log.names(n)).encode()).hexdigest() for n in folders
+    }
 
 
 def backfill(
@@ -81,8 +87,10 @@ def backfill(
     days_at_once: int = DAYS_AT_ONCE,
 ) -> list[str]:
     """Stores ``compute(rows)`` for every day of a log partitioned by ``d``; the days that were computed. ``compute``
-    is given whole days and returns rows with ``d``, each from rows of its own day only."""
-    source, done, out = _fingerprints(spark, log_path), manifest(spark, path), Folder(spark, path)
+    is given whole days and returns rows with ``d``, each from rows of its own day only. Of a log partitioned by
+    month, days stands for months here."""
+    part, source = _fingerprints(spark, log_path)
+    done, out = manifest(spark, path), Folder(spark, path)
     in_force = {e["folder"].split("/")[0] for e in done.values()}
     for name, _, _ in out.names("data"):
         if name not in in_force:  # left by a run that was stopped
@@ -91,9 +99,11 @@ def backfill(
     for first in range(0, len(todo), days_at_once):
         days = todo[first : first + days_at_once]
         run = uuid.uuid4().hex
-        rows = spark.read.parquet(log_path).where(F.col("d").isin([F.lit(d).cast("date") for d in days]))
-        result = compute(rows).withColumn("day", F.col("d").cast("string"))
-        result.repartition("day", F.pmod(F.xxhash64(result.columns[0]), F.lit(8))).write.partitionBy("day").parquet(f"{path}/data/{run}")
+        # only these folders are listed, not the whole log for every step
+        rows = spark.read.option("basePath", log_path).parquet(*[f"{log_path}/{part}={d}" for d in days])
+        result = compute(rows if part == "d" else rows.drop(part)).withColumn("day", PARTS[part]())
+        # small days share a task and have a file each, large ones are split
+        result.hint("rebalance", "day").write.partitionBy("day").parquet(f"{path}/data/{run}")
         for d in days:
             number = done.get(d, {}).get("entry", 0) + 1
             entry = {"folder": f"{run}/day={d}", "source": source[d]}
