@@ -78,15 +78,16 @@ def keep_features_current(
         spark = batch.sparkSession
         (
             batch.withColumn("batch", F.lit(batch_id))
+            .hint("rebalance", "d")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("d", "batch")
             .parquet(log_path)
         )
         stored = spark.read.parquet(log_path)
-        # a few calendar days, used to prune the stored partitions
-        touched = stored.where(F.col("batch") == batch_id).select("d").distinct().collect()
-        days = stored.where(F.col("d").isin([r.d for r in touched])).drop("batch")
+        # the days of the batch prune the stored partitions
+        touched = stored.where(F.col("batch") == batch_id).select("d").distinct()
+        days = stored.join(F.broadcast(touched), "d", "left_semi").drop("batch")
         write_features(ip_day_features(days), features_path)
 
     return (
