@@ -8,6 +8,7 @@ A busy user is spread over its IPs and agents. :func:`current_scores` puts both
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -36,38 +37,49 @@ class FirstSuccess(StatefulProcessor):
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = self.last.get()[0] if self.last.exists() else 0
+        earliest, latest = sys.maxsize, 0
         for part in rows:
-            self.waiting.appendList(
-                list(part[["at", "id", "result", "breached", "no_agent"]].itertuples(index=False, name=None))
-            )
-            for moment in set((part["at"] + 999) // 1000):
-                self.handle.registerTimer(int(moment))
-            latest = max(latest, int(part["at"].max()))
-        self.last.update((latest,))
+            columns = [part[c].tolist() for c in ("at", "id", "result", "breached", "no_agent")]
+            self.waiting.appendList(list(zip(*columns)))
+            earliest, latest = min(earliest, *columns[0]), max(latest, *columns[0])
+        # one timer for all of them: whatever has come due by then is judged with it
+        self.handle.registerTimer((earliest + 999) // 1000)
         if self.idle is not None:
+            if self.last.exists():
+                latest = max(latest, self.last.get()[0])
+            self.last.update((latest,))
             self.handle.registerTimer((latest + 999) // 1000 + self.idle)
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # nothing up to the watermark can come any more
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(tuple(r) for r in self.waiting.get())
         due, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        first = tuple(self.first.get()) if self.first.exists() else None
         username, kind, _ = key
         out = []
-        for at, id_, result, breached, no_agent in due:
-            if breached:
-                out.append((id_, username, kind, first is None or first >= (at, id_), no_agent))
-            if result and first is None:
-                first = (at, id_)
-                self.first.update(first)
         if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if self.idle is not None and not rest and (self.last.get()[0] + 999) // 1000 + self.idle <= now // 1000:
-            for state in (self.first, self.last):
-                state.clear()
-        yield pd.DataFrame(out, columns=["id", "username", "kind", "is_new", "no_agent"])
+            known = tuple(self.first.get()) if self.first.exists() else None
+            first = known
+            for at, id_, result, breached, no_agent in due:
+                if breached:
+                    out.append((id_, username, kind, first is None or first >= (at, id_), no_agent))
+                if result and first is None:
+                    first = (at, id_)
+            if first != known:
+                self.first.update(first)
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer((rest[0][0] + 999) // 1000)
+            else:
+                self.waiting.clear()
+        if self.idle is not None and not rest and self.last.exists():
+            if (self.last.get()[0] + 999) // 1000 + self.idle <= now // 1000:
+                for state in (self.first, self.last):
+                    state.clear()
+        if not out:
+            return iter(())
+        return iter([pd.DataFrame(out, columns=["id", "username", "kind", "is_new", "no_agent"])])
 
     def close(self) -> None:
         pass
