@@ -212,3 +212,28 @@ def test_blocks_lose_no_pair(spark):
     few = {(r.i, r.j) for r in pairs.near_pairs(rows, names, 0.3, rows_per_block=10).collect()}
     one = {(r.i, r.j) for r in pairs.near_pairs(rows, names, 0.3, rows_per_block=10_000).collect()}
     assert few == one and len(one) > 1000
+
+
+def test_rows_of_one_address_are_compared_in_blocks_with_their_usernames(spark, monkeypatch):
+    """Blocks and long lists of usernames change nothing, and no row per pair and username is made."""
+    lsets = [p | dict(client_ip="one", NU=len(p["names"])) for p in make_lsets(60, 5)]
+    for k, p in enumerate(lsets):
+        p["id"] = f"r{k:03d}"
+    rows = spark.createDataFrame([tuple(p[c] for c in FIELDS) for p in lsets], LSET)
+    names = spark.createDataFrame([(p["id"], u) for p in lsets for u in p["names"]] + [("r000", None)], "id string, username string")
+
+    def found(**given):
+        near = pairs.near_pairs(rows, names, 0.4, **given)
+        return {(r.i, r.j): (r.shared_usernames, round(r.dist, 9)) for r in near.collect()}
+
+    asked = spark.createDataFrame([(f"r{i:03d}", f"r{j:03d}") for j in range(60) for i in range(j)], "i string, j string")
+    every = {(r.i, r.j): round(r.dist, 9) for r in pairs.distances_of(asked, rows, names).collect()}
+    sets = {p["id"]: set(p["names"]) for p in lsets}
+    expected = {k: (len(sets[k[0]] & sets[k[1]]), d) for k, d in every.items() if d < 0.4}
+    joined = []
+    real = pairs._with_usernames
+    monkeypatch.setattr(pairs, "_with_usernames", lambda c, *a: joined.append(c.count()) or real(c, *a))
+    assert found() == found(rows_per_block=7) == expected and len(expected) > 20
+    assert joined == [0, 0]
+    monkeypatch.setattr(pairs, "MOST_NAMES", 3)
+    assert found(rows_per_block=7) == expected and joined[-1] > 0
