@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loginlab.llm import languages, nearest
+from loginlab.llm import common, languages, nearest
 from loginlab.llm.near_duplicates import shingles
 from tests.llm.test_tokens import packed_well
 
@@ -216,3 +216,11 @@ def test_pipeline_on_a_small_corpus(spark, prose, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_a_process_keeps_the_object_of_one_operator():
+    made = []
+    for key in ("a", "a", "b", "a"):
+        common.per_process(key, lambda k=key: made.append(k) or [k])
+    assert made == ["a", "b", "a"] and list(common._kept) == ["a"]
+    common._kept.clear()
