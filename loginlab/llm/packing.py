@@ -14,6 +14,7 @@ table without rows gives none.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,19 +28,25 @@ from loginlab.llm.common import TOKENIZER_FOLDER, kept, per_process, small_batch
 
 CAPACITY = 2048
 END_ID = 0
-MOST_WORDS, LONGEST = 400_000, 64  # encoded words, and runs of them, kept by one process; characters of one
+MOST_WORDS, LONGEST = 150_000, 64  # encoded words and runs of them in a generation that a process keeps; characters of one
 SEPARATORS = re.compile("[\\x1c-\\x1f]")  # Python takes them for white space, Unicode does not
 RANKED_TOGETHER = 50_000  # rows of one length that one task puts in order
 
 
 class Memory(dict):
+    """What was found last, in two generations: a full one becomes the older one, whose entries come back
+    when they are asked for again. So frequent words are not encoded anew, and rare ones go."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        found = self.make(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) > MOST_WORDS:
+            if len(self) >= MOST_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[key] = found
         return found
@@ -49,7 +56,7 @@ class WordEncoder:
     """Ids of a tokenizer file whose pre-tokens are words. Where a text has only characters
     below U+0180 and no special token, normalisation is lower-casing and white space only
     separates, so runs without white space, and the words in them, are encoded one by one
-    and remembered; other texts go to the library whole. Both give the library's ids."""
+    and remembered (a word is a run of one word); other texts go to the library whole. Both give the library's ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,12 +72,14 @@ class WordEncoder:
         letters, numbers = kind("L"), kind("N")
         self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{letters}{numbers}]+")
         self.beyond = re.compile("[^\\x00-\\u017f]")
-        self.words = Memory(self.word)
-        self.runs = Memory(lambda run: b"".join(map(self.words.__getitem__, self.split.findall(run))))
-
-    def word(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in found], "<u4").tobytes()
+        self.runs = Memory(self.run)
+
+    def run(self, run: str) -> bytes:
+        words = self.split.findall(run)
+        if len(words) > 1:
+            return b"".join(map(self.runs.__getitem__, words))
+        found = self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def plain(self, text: str) -> bool:
         if "<|" in text and re.search(r"<\|(?:startoftext|endoftext)\|>", text):

@@ -183,3 +183,14 @@ def test_empty_tables(documents):
     assert byte_bpe.decode(byte_bpe.encode(none, MULTI), MULTI).count() == 0
     assert token_counts.count_tokens(none, BYTES).count() == 0
     assert packing.pack_documents(none).count() == 0
+
+
+def test_remembered_words_are_few_and_the_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_WORDS", 100)
+    made = Counter()
+    memory = packing.Memory(lambda key: made.update([key]) or key.encode())
+    most = 0
+    for n in range(5000):
+        assert memory["often"] == b"often" and memory[f"once{n}"] == f"once{n}".encode()
+        most = max(most, len(memory) + len(memory.older))
+    assert made["often"] == 1 and most <= 200
