@@ -1,6 +1,7 @@
 """Components, networks, agent rules and blocks of near rows, each against a plain version."""
 
 import ipaddress
+import math
 import random
 import re
 from datetime import date
@@ -237,3 +238,30 @@ def test_rows_of_one_address_are_compared_in_blocks_with_their_usernames(spark,
     assert joined == [0, 0]
     monkeypatch.setattr(pairs, "MOST_NAMES", 3)
     assert found(rows_per_block=7) == expected and joined[-1] > 0
+
+
+def test_near_pairs_get_their_parts_where_they_are_compared(spark, monkeypatch):
+    """The wide feature rows are not joined to the pairs; null and infinite values count as in the column expressions."""
+    lsets = make_lsets(50, 7, close=True)
+    for k, p in enumerate(lsets):
+        if k % 7 == 0:
+            p.update(os_json_cnt=None, MIT_Mean=None, NUA=None)
+        if k % 11 == 0:
+            p.update(SIT=math.inf, browser_json_cnt=None)
+        if k % 13 == 0:
+            p.update(FTP=None, AUPPU=None, ISP=None, zxcvbn_0=None)
+    rows = spark.createDataFrame([tuple(p[c] for c in FIELDS) for p in lsets], LSET)
+    names = spark.createDataFrame([(p["id"], u) for p in lsets for u in p["names"]], "id string, username string")
+    real, joined = pairs._with_parts, []
+    for passwords in (True, False):
+        ids = sorted(p["id"] for p in lsets)
+        asked = [(i, j) for j in ids for i in ids if i < j]
+        asked = spark.createDataFrame(asked, "i string, j string")
+        every = pairs._with_usernames(real(asked, rows, passwords, True), names, passwords).where("dist < 0.35").collect()
+        monkeypatch.setattr(pairs, "_with_parts", lambda p, *a: joined.append(p.count()) or real(p, *a))
+        found = pairs.near_pairs(rows, names, 0.35, passwords, 7).collect()
+        monkeypatch.setattr(pairs, "_with_parts", real)
+        plain = lambda r: {c: v if isinstance(v, str) else pytest.approx(v) for c, v in r.asDict().items()}
+        assert {(r.i, r.j): r.asDict() for r in found} == {(r.i, r.j): plain(r) for r in every}
+        assert len(every) > 20
+    assert joined == [0, 0]
