@@ -28,7 +28,7 @@ from loginlab.llm.common import TOKENIZER_FOLDER, kept, per_process, small_batch
 
 CAPACITY = 2048
 END_ID = 0
-MOST_WORDS, LONGEST = 150_000, 64  # encoded words and runs of them in a generation that a process keeps; characters of one
+MOST_WORDS, LONGEST = 200_000, 64  # encoded words in a generation that a process keeps; characters of one
 SEPARATORS = re.compile("[\\x1c-\\x1f]")  # Python takes them for white space, Unicode does not
 RANKED_TOGETHER = 50_000  # rows of one length that one task puts in order
 
@@ -55,8 +55,8 @@ class Memory(dict):
 class WordEncoder:
     """Ids of a tokenizer file whose pre-tokens are words. Where a text has only characters
     below U+0180 and no special token, normalisation is lower-casing and white space only
-    separates, so runs without white space, and the words in them, are encoded one by one
-    and remembered (a word is a run of one word); other texts go to the library whole. Both give the library's ids."""
+    separates, so words are encoded one by one and remembered, without the marks beside them, which would make
+    many of each; other texts go to the library whole. Both give the library's ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -70,15 +70,12 @@ class WordEncoder:
             re.escape(c) for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k
         )
         letters, numbers = kind("L"), kind("N")
-        self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{letters}{numbers}]+")
+        self.split = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{letters}{numbers}\\s]+")
         self.beyond = re.compile("[^\\x00-\\u017f]")
-        self.runs = Memory(self.run)
+        self.words = Memory(self.word)
 
-    def run(self, run: str) -> bytes:
-        words = self.split.findall(run)
-        if len(words) > 1:
-            return b"".join(map(self.runs.__getitem__, words))
-        found = self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))
+    def word(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def plain(self, text: str) -> bool:
@@ -95,7 +92,7 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         if not self.plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.runs.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, self.split.findall(text.lower())))
 
 
 def token_pieces(

@@ -121,6 +121,16 @@ def test_words_are_encoded_as_by_the_library():
         assert encoder(text) == data(encoder.library.encode(text, add_special_tokens=False).ids)
 
 
+def test_marks_beside_a_word_do_not_fill_the_memory():
+    encoder = packing.WordEncoder(WORDS)
+    marks = [".", ",", "&&&", "(", "»", "!?"]
+    for text in (f"{a}wörd{b} {a}word{b}'s" for a in marks for b in marks):
+        assert encoder(text) == data(encoder.library.encode(text, add_special_tokens=False).ids)
+    remembered = [x for x in vars(encoder).values() if isinstance(x, packing.Memory)]
+    # the two words, the marks, "'s" and the marks before it
+    assert sum(len(x) for x in remembered) <= 3 + 2 * len(marks)
+
+
 def packed_well(rows, capacity):
     """Sequences are without gaps and no longer than the capacity; how many there are."""
     sequences = defaultdict(list)
