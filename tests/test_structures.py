@@ -6,6 +6,7 @@ import random
 import re
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,27 @@ def test_compared_pairs_do_not_grow_with_the_square_of_a_day(spark):
     assert compared[20_000] < 0.1 * 20_000**2
 
 
+def test_small_blocks_are_compared_together(spark, monkeypatch):
+    from loginlab.operators import blocks
+
+    lsets = campaign_day(60)
+    rows = spark.createDataFrame([tuple(p[c] for c in FIELDS) for p in lsets], LSET)
+    names = spark.createDataFrame([(p["id"], u) for p in lsets for u in p["names"]], "id string, username string")
+    home = pairs.in_blocks(rows, 0.4, True, 4)
+    met = pairs.block_pairs(home, 0.4, True).select("_kind", "_rows", "_other_rows").collect()
+    lists = lambda c: pa.array([[{"id": ""}] * r[c] for r in met])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r._kind for r in met], pa.int32()), lists("_rows"), lists("_other_rows")], ["_kind", "_rows_a", "_rows_b"]
+    )
+    together = list(blocks._together(batch))
+    assert len(met) > 20 and len(together) == len({r._kind for r in met})
+    assert sorted(n for _, chosen in together for n in chosen) == list(range(len(met)))
+    near = {(r.i, r.j): r.dist for r in pairs.near_pairs(rows, names, 0.4, rows_per_block=4).collect()}
+    one = {(r.i, r.j): r.dist for r in pairs.near_pairs(rows, names, 0.4, rows_per_block=10_000).collect()}
+    assert near.keys() == one.keys() and len(one) > 10
+    assert all(abs(near[k] - one[k]) < 1e-12 for k in one)
+
+
 def test_blocks_lose_no_pair(spark):
     lsets = campaign_day(300)
     rows = spark.createDataFrame([tuple(p[c] for c in FIELDS) for p in lsets], LSET)
