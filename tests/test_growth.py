@@ -1,5 +1,6 @@
 """Work that grows with the number of days or attempts no faster than the log."""
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -16,6 +17,18 @@ def files_by_day(path, spark):
     return Counter(f.split("/d=")[1][:10] for f in spark.read.parquet(path).inputFiles())
 
 
+def test_second_factor_events_are_chosen_before_their_text_is_parsed(spark, tmp_path):
+    rows = spark.range(20).selectExpr(
+        "id AS event_id", "id % 4 AS user_id", "'click' AS event_type", "0.0 + id AS value", """'{"k": 70}' AS props"""
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    found = derived.mfa_log(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    chosen = next(line for line in plan.splitlines() if "Filter" in line)
+    assert re.search(r"event_id#\d+L % 3", chosen).start() < chosen.index("get_json_object")
+    assert all(r.id % 3 == 0 and int(r.username[1:]) % 2 == 0 for r in found.collect())
+
+
 def test_the_derived_log_has_a_folder_a_month(spark, tmp_path):
     events = spark.range(0, 60_000, 50).select(
         F.col("id").alias("event_id"),
